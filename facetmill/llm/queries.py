@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetmill.llm import collapse, cross_split, group_split, heavy, leaks, neighbours, packing, quotas
+from facetmill.llm import collapse, cross_split, group_split, heavy, leaks, mixing, neighbours, packing, quotas, spam
+from facetmill.sources.scratch import Scratch
 from facetmill.sources.tables import table
 
 PROTEINS = ("BRD4", "HSA", "sEH")
@@ -16,6 +17,8 @@ FREQUENT = 1 / 200
 TOP = 50
 NEAREST = 3
 LEAST_SIMILARITY = 0.6
+#: File of a public tokenizer; every executor must reach it.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def _molecules(spark: SparkSession, root: str) -> DataFrame:
@@ -133,6 +136,45 @@ def p8_leaks(spark: SparkSession, root: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("n_windows").alias("most_windows"), F.max("n_equal").alias("most_equal"))
 
 
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """Sources that can't give their target share within the repeats allowed, tokens being pieces between white space."""
+    docs = table(spark, root, "documents")
+    members = mixing.memberships(docs, "doc_id", "text", "source", mixing.blank_tokens(F.col("text")), merge=False)
+    report, _ = mixing.mix_report(members, table(spark, root, "mix_targets"))
+    return spark.createDataFrame(report, mixing.REPORT).where("lacking > 0").select("recipe_id", "source")
+
+
+def _mix(spark: SparkSession, root: str, tokenizer: str = TOKENIZER) -> tuple[DataFrame, list[tuple], list[tuple]]:
+    counted = mixing.model_tokens(table(spark, root, "documents"), "doc_id", "text", "source", tokenizer)
+    members = Scratch(spark, "tokens").write(mixing.memberships(counted, "doc_id", "text", "source", F.col("n_tokens"), merge=True), "members")
+    return members, *mixing.mix_report(members, table(spark, root, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Tokens wanted and reached by source of every recipe, in tokens of a public tokenizer."""
+    return spark.createDataFrame(_mix(spark, root)[1], mixing.REPORT)
+
+
+def p9_mix(spark: SparkSession, root: str) -> DataFrame:
+    """The documents of every recipe with their copies."""
+    members, _, flows = _mix(spark, root)
+    return mixing.select_documents(members, spark.createDataFrame(flows, mixing.FLOWS))
+
+
+def _spam(spark: SparkSession, root: str) -> DataFrame:
+    return spam.spam_pages(table(spark, root, "documents"), "doc_id", "text", "lang")
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pages more than half of whose words are keywords, links, menus or tags in a row."""
+    return _spam(spark, root).select("doc_id").distinct()
+
+
+def p10_pages(spark: SparkSession, root: str) -> DataFrame:
+    """The same pages with the share of such words and the fit of their rank-frequency curve."""
+    return _spam(spark, root)
+
+
 _USABLE = """
 usable AS (
   SELECT DISTINCT id, CASE regexp_replace(lower(protein_name), '[^a-z0-9]', '', 'g') WHEN 'brd4' THEN 'BRD4' WHEN 'hsa' THEN 'HSA' WHEN 'seh' THEN 'sEH' END AS protein, binds
@@ -144,7 +186,7 @@ _SQUEEZE = r"""regexp_replace(molecule_smiles, '[\s\x{85}\x{a0}\x{1680}\x{180e}\
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_sample, p2_found, p2_records, p3_found, p3_containers, p4_found, p4_report, p5_found, p5_assign, p6_found, p6_top, p7_found, p7_neighbours, p8_found, p8_leaks)
+    named = (p1_found, p1_sample, p2_found, p2_records, p3_found, p3_containers, p4_found, p4_report, p5_found, p5_assign, p6_found, p6_top, p7_found, p7_neighbours, p8_found, p8_leaks, p9_found, p9_shares, p9_mix, p10_found, p10_pages)
     return {f.__name__: f for f in named}
 
 
@@ -166,4 +208,9 @@ i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM
 dw AS (SELECT doc_id, array_to_string(w[k : k + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13)),
 iw AS (SELECT item_id, array_to_string(w[k : k + 12], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i WHERE len(w) >= 13))
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (s)""",
+        "p9_found": r"""
+WITH d AS (SELECT regexp_replace(lower(source), '[^\p{L}]', '', 'g') AS s, len(regexp_extract_all(coalesce(text, ''), '[^\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) AS n FROM documents WHERE source IS NOT NULL),
+t AS (SELECT s, sum(n) AS n FROM d WHERE s <> '' GROUP BY s)
+SELECT m.recipe_id, m.source FROM mix_targets m LEFT JOIN t ON t.s = regexp_replace(lower(m.source), '[^\p{L}]', '', 'g')
+WHERE m.target_share * m.total_factor * (SELECT sum(n) FROM t) > m.max_repeats * coalesce(t.n, 0)""",
     }
