@@ -29,3 +29,14 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from importlib import import_module
+
+    for name in ("evaluation",):
+        import_module(f"facetmill.plans.{name}")
+
+
+load()
