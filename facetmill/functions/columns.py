@@ -75,7 +75,7 @@ def tag_as_carbon(smiles: Column) -> Column:
 def unpack_bits(c: Column, width: int, total: int = 8) -> Column:
     """The ``total // width`` fields of ``width`` bits of an integer, lowest first."""
     mask = (1 << width) - 1
-    return F.transform(F.sequence(F.lit(0), F.lit(total - width), F.lit(width)), lambda k: F.expr("1") * F.call_function("shiftright", c.cast("int"), k).bitwiseAND(F.lit(mask)))
+    return F.transform(F.sequence(F.lit(0), F.lit(total - width), F.lit(width)), lambda k: F.call_function("shiftright", c.cast("int"), k).bitwiseAND(F.lit(mask)))
 
 
 def tanimoto(both: Column, a: Column, b: Column) -> Column:
