@@ -1,13 +1,14 @@
 """Problem 4: records of the evaluation splits that also stand, exactly or almost, in the training split.
 
 Method: content-defined chunks. A rolling hash cuts the plain spelling of each record into chunks;
-chunk digests are joined across the splits; shared chunk lengths are summed into overlap fractions,
-and an exact comparison of the runs of six characters decides on each candidate.
+digests of two neighbouring chunks are joined across the splits; shared lengths are summed into
+overlap fractions, and an exact comparison of the runs of six characters decides on candidates.
 
-A pair that shares at least MIN_OVERLAP of the chunk length of both records must share a chunk
-among the rarest ones that make up more than 1 - MIN_OVERLAP of it, when all records rank their
-chunks alike. So only those are joined: frequent chunks cost nothing and no pair is lost for it.
-Chunks are ranked by counts over all records, held in a hashed table of SKETCH counters.
+All records rank their chunk pairs alike, rare ones first. Each posts only the rarest that make up
+1 - UNPOSTED of its length. Two records that share MIN_OVERLAP of the length of both share at least
+MIN_OVERLAP - UNPOSTED of the longer one among their postings: what both share but one does not post
+is less than UNPOSTED. So frequent chunks cost nothing, and no such pair is lost for it. Ranks come from
+counts over all records in a table of SKETCH hashed counters.
 
 Copies: rows of the same record are one class from the first Arrow batch on. Classes are compared,
 and the result is expanded to rows at the end.
@@ -31,9 +32,11 @@ from facetmill.sources.scratch import Scratch
 
 RUN = 6
 LEAST_JACCARD = 0.7
-#: Pairs at LEAST_JACCARD share more than this part of their chunks (measured: 0.61 and more).
+#: Pairs at LEAST_JACCARD share more than this part of their chunk pairs (measured: 0.5 and more).
 MIN_OVERLAP = 0.45
-SKETCH = 1 << 16
+#: The part of a record's length, in its most frequent chunk pairs, that it does not post.
+UNPOSTED = 0.25
+SKETCH = 1 << 20
 
 
 class Overlaps(NamedTuple):
@@ -78,15 +81,28 @@ def classes(df: DataFrame, id_col: str, text_col: str, split_col: str, train: st
     return picked.where("id is not null and t is not null").mapInArrow(run, "ka bigint, kb bigint, plain string, train_ids array<bigint>, eval_ids array<bigint>")
 
 
-def chunk_counts(found: DataFrame) -> np.ndarray:
-    """How many chunks of all records fall on each of SKETCH counters."""
+def chunk_pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, length, digest) of every two neighbouring chunks, in order; a text of one chunk has that one."""
+    text, length, digest = cut_chunks(texts)
+    if not len(text):
+        return text, length, digest
+    inner = text[1:] == text[:-1]
+    alone = np.r_[True, ~inner] & np.r_[~inner, True]
+    pair = np.r_[inner, False] | alone
+    second, longer = np.r_[digest[1:], digest[:1]], np.r_[length[1:], length[:1]]
+    mixed = np.where(alone, digest, (digest * np.uint64(0x9E3779B97F4A7C15)) ^ second)
+    return text[pair], np.where(alone, length, length + longer)[pair], mixed[pair]
+
+
+def pair_counts(found: DataFrame) -> np.ndarray:
+    """How many chunk pairs of all records fall on each of SKETCH counters, as far as a task finds a counter well above its mean."""
 
     def count(batches):
         total = np.zeros(SKETCH, np.int64)
         for b in batches:
-            _, _, digest = cut_chunks([t.encode() for t in b.column(0).to_pylist()])
+            _, _, digest = chunk_pairs([t.encode() for t in b.column(0).to_pylist()])
             total += np.bincount((digest % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-        at = np.flatnonzero(total)
+        at = np.flatnonzero(total > 2 * total.mean() + 3)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
     counts = np.zeros(SKETCH, np.int64)
@@ -95,13 +111,13 @@ def chunk_counts(found: DataFrame) -> np.ndarray:
     return counts
 
 
-def postings(found: DataFrame, counts, min_overlap: float) -> DataFrame:
-    """(digest, k, t, e): of each class its rarest chunks that make up more than 1 - min_overlap of its chunk length."""
+def postings(found: DataFrame, counts, unposted: float) -> DataFrame:
+    """(digest, k, size, whole): of each class its rarest chunk pairs that make up 1 - unposted of the length of all."""
 
     def run(batches):
         ranks = np.minimum(counts.value, (1 << 23) - 1).astype(np.uint64)
         for b in batches:
-            text, length, digest = cut_chunks([t.encode() for t in b.column(1).to_pylist()])
+            text, length, digest = chunk_pairs([t.encode() for t in b.column(1).to_pylist()])
             rank = ranks[(digest % np.uint64(SKETCH)).astype(np.int64)]
             order = np.argsort((text.astype(np.uint64) << np.uint64(44)) | (rank << np.uint64(21)) | (digest >> np.uint64(43)), kind="stable")
             text, length, digest = text[order], length[order], digest[order]
@@ -110,13 +126,24 @@ def postings(found: DataFrame, counts, min_overlap: float) -> DataFrame:
             text, length, digest = text[fresh], length[fresh], digest[fresh]
             run_up = np.cumsum(length) - length
             first = np.searchsorted(text, np.arange(b.num_rows))
-            whole = np.bincount(text, length, b.num_rows)
-            used = run_up - run_up[np.minimum(first, len(text) - 1)][text] <= (1 - min_overlap) * whole[text]
-            at = pa.array(text[used])
-            yield pa.RecordBatch.from_arrays([pa.array(digest[used].view(np.int64)), b.column(0).take(at), b.column(2).take(at), b.column(3).take(at)], names=["digest", "k", "t", "e"])
+            whole = np.bincount(text, length, b.num_rows).astype(np.int64)
+            used = run_up - run_up[np.minimum(first, len(text) - 1)][text] <= (1 - unposted) * whole[text]
+            at = text[used]
+            yield pa.RecordBatch.from_arrays([pa.array(digest[used].view(np.int64)), b.column(0).take(pa.array(at)), pa.array(length[used].astype(np.int32)), pa.array(whole[at].astype(np.int32))], names=["digest", "k", "size", "whole"])
+
+    return found.select("ka", "plain").mapInArrow(run, "digest bigint, k bigint, size int, whole int")
+
 
-    sides = found.select("ka", "plain", (F.size("train_ids") > 0).alias("t"), (F.size("eval_ids") > 0).alias("e"))
-    return sides.mapInArrow(run, "digest bigint, k bigint, t boolean, e boolean")
+def candidates(found: DataFrame, scratch: Scratch, min_overlap: float, unposted: float) -> DataFrame:
+    """(ta, ea): classes of train and of other splits whose postings share enough length."""
+    counts = found.sparkSession.sparkContext.broadcast(pair_counts(found))
+    sides = []
+    for name in ("train", "eval"):
+        posted = postings(found.where(F.size(f"{name}_ids") > 0), counts, unposted).repartition("digest")
+        side = posted.groupBy("digest", "k").agg(F.first("size").alias("size"), F.first("whole").alias("whole"))
+        sides.append(side.select("digest", F.col("k").alias(f"{name[0]}a"), F.col("size").alias(f"{name[0]}s"), F.col("whole").alias(f"{name[0]}w")))
+    shared = sides[0].join(sides[1], "digest").where("ta <> ea").groupBy("ta", "ea").agg(F.sum("ts").alias("both"), F.max(F.greatest("tw", "ew")).alias("whole"))
+    return scratch.write(shared.where(F.col("both") >= (min_overlap - unposted) * F.col("whole")).select("ta", "ea"), "candidates")
 
 
 def verify(pairs: DataFrame, least: float) -> DataFrame:
@@ -129,7 +156,7 @@ def verify(pairs: DataFrame, least: float) -> DataFrame:
                 x, y = runs_of(p), runs_of(q)
                 both = len(x & y)
                 if p != q and both >= least * (len(x) + len(y) - both):
-                    text, length, digest = cut_chunks([p.encode(), q.encode()])
+                    text, length, digest = chunk_pairs([p.encode(), q.encode()])
                     a, c = (dict(zip(digest[text == s].tolist(), length[text == s].tolist())) for s in (0, 1))
                     shared = sum(n for d, n in a.items() if d in c)
                     kept.append((i, both / (len(x) + len(y) - both), shared / sum(a.values()), shared / sum(c.values())))
@@ -140,7 +167,7 @@ def verify(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.mapInArrow(run, "ta bigint, tb bigint, ea bigint, eb bigint, jaccard double, overlap_t double, overlap_e double")
 
 
-def overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str = "train", least: float = LEAST_JACCARD, min_overlap: float = MIN_OVERLAP) -> Overlaps:
+def overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str = "train", least: float = LEAST_JACCARD, min_overlap: float = MIN_OVERLAP, unposted: float = UNPOSTED) -> Overlaps:
     """Links between record classes with rows in ``train`` and classes with rows in another split.
 
     Rows with a null id, a null split, or a null, blank or mark-only text take no part. A class with rows on both
@@ -150,10 +177,8 @@ def overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, train: s
     spark = df.sparkSession
     scratch = Scratch(spark, "overlap")
     found = scratch.write(classes(df, id_col, text_col, split_col, train), "classes")
-    counts = spark.sparkContext.broadcast(chunk_counts(found))
-    marked = postings(found, counts, min_overlap).repartition("digest")
-    sides = [marked.where(side).select("digest", F.col("k").alias(name)).dropDuplicates(["digest", name]) for side, name in (("t", "ta"), ("e", "ea"))]
-    near = scratch.write(sides[0].join(sides[1], "digest").where("ta <> ea").select("ta", "ea").distinct(), "candidates")
+    near = candidates(found, scratch, min_overlap, unposted)
+    scratch.tidy()
 
     def side(name: str) -> DataFrame:
         rows = found.where(F.size(f"{name}_ids") > 0)
