@@ -101,6 +101,8 @@ def complexes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for b in batches:
             rows = [(g, read_line(t)) for g, t in zip(b["g"], b["t"])]
             rows = [(g, r) for g, r in rows if r]
+            if not rows:
+                continue
             yield pd.DataFrame({"g": [g for g, _ in rows], "atoms": [r[0] for _, r in rows], "bonds": [[{"u": u, "v": v, "kind": k} for u, v, k in r[1]] for _, r in rows], "rings": [r[2] for _, r in rows]})
 
     return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("g"), F.col(text_col).alias("t")).mapInPandas(run, _COMPLEX)

@@ -134,13 +134,18 @@ def molecule_complexes(spark, root):
 @register("molecule_encodings")
 def molecule_encodings(spark, root):
     found = lines.complexes(table(spark, root, "molecules"), "row_id", "molecule_smiles")
-    return graph_algos.nested_encodings(found).withColumnRenamed("g", "row_id")
+    return graph_algos.nested_encodings(_spread(found)).withColumnRenamed("g", "row_id")
 
 
 @register("molecule_forward")
 def molecule_forward(spark, root):
     found = lines.complexes(table(spark, root, "molecules"), "row_id", "molecule_smiles")
-    return inference.nested_forward(found, inference.Block()).withColumnRenamed("g", "row_id")
+    return inference.nested_forward(_spread(found), inference.Block()).withColumnRenamed("g", "row_id")
+
+
+def _spread(found):
+    """Graphs over all cores: the work of a graph is heavy beside its size."""
+    return found.repartition(2 * found.sparkSession.sparkContext.defaultParallelism, "g")
 
 
 # Messages: lines as edges, prices as values.
