@@ -11,9 +11,9 @@ from facetmill.operators import attention, batching, complexes, graph_algos, inf
 from facetmill.plans.catalog import register
 from facetmill.sources.tables import table
 
-# One small graph an order: its parts and its suppliers (below zero), linked by its lines.
-_ORDERS = "o AS (SELECT DISTINCT l_orderkey AS g, -l_suppkey AS u, l_partkey AS v FROM lineitem)"
-_FACES = "f AS (SELECT DISTINCT l_orderkey AS g, CAST(CASE l_linestatus WHEN 'O' THEN 0 ELSE 1 END AS BIGINT) AS face, -l_suppkey AS u, l_partkey AS v FROM lineitem)"
+# One small graph an order: its parts and its suppliers (below zero, since keys start at zero), linked by its lines.
+_ORDERS = "o AS (SELECT DISTINCT l_orderkey AS g, -1 - l_suppkey AS u, l_partkey AS v FROM lineitem)"
+_FACES = "f AS (SELECT DISTINCT l_orderkey AS g, CAST(CASE l_linestatus WHEN 'O' THEN 0 ELSE 1 END AS BIGINT) AS face, -1 - l_suppkey AS u, l_partkey AS v FROM lineitem)"
 # One directed graph a user: which event type follows which.
 _STEPS = """t AS (SELECT user_id AS g, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS c, ts, event_id FROM events),
 s AS (SELECT g, CAST(c AS BIGINT) AS u, CAST(lead(c) OVER (PARTITION BY g ORDER BY ts, event_id) AS BIGINT) AS v FROM t),
@@ -21,12 +21,12 @@ e AS (SELECT g, u, v FROM s WHERE v IS NOT NULL), d1 AS (SELECT DISTINCT g, u, v
 
 
 def _orders(spark, root):
-    return table(spark, root, "lineitem").select(F.col("l_orderkey").alias("g"), (-F.col("l_suppkey")).alias("u"), F.col("l_partkey").alias("v"))
+    return table(spark, root, "lineitem").select(F.col("l_orderkey").alias("g"), (-1 - F.col("l_suppkey")).alias("u"), F.col("l_partkey").alias("v"))
 
 
 def _faces(spark, root):
     face = F.when(F.col("l_linestatus") == "O", 0).otherwise(1).cast("bigint")
-    return table(spark, root, "lineitem").select(F.col("l_orderkey").alias("g"), face.alias("face"), (-F.col("l_suppkey")).alias("u"), F.col("l_partkey").alias("v")).distinct()
+    return table(spark, root, "lineitem").select(F.col("l_orderkey").alias("g"), face.alias("face"), (-1 - F.col("l_suppkey")).alias("u"), F.col("l_partkey").alias("v")).distinct()
 
 
 def _steps(spark, root):
@@ -149,11 +149,11 @@ def _spread(found):
 
 
 # Messages: lines as edges, prices as values.
-@register("scatter_in_out", """WITH e AS (SELECT l_orderkey AS g, -l_suppkey AS u, l_partkey AS v, l_discount AS x FROM lineitem), n AS (SELECT DISTINCT g, u, CAST(abs(u) % 7 AS DOUBLE) AS y FROM (SELECT g, u FROM e UNION ALL SELECT g, v FROM e)),
+@register("scatter_in_out", """WITH e AS (SELECT l_orderkey AS g, -1 - l_suppkey AS u, l_partkey AS v, l_discount AS x FROM lineitem), n AS (SELECT DISTINCT g, u, CAST(abs(u) % 7 AS DOUBLE) AS y FROM (SELECT g, u FROM e UNION ALL SELECT g, v FROM e)),
 i AS (SELECT e.g, e.v AS u, sum(e.x) AS a, sum(n.y) AS b FROM e JOIN n ON n.g = e.g AND n.u = e.u GROUP BY ALL), q AS (SELECT e.g, e.u, sum(e.x) AS a, sum(n.y) AS b FROM e JOIN n ON n.g = e.g AND n.u = e.v GROUP BY ALL)
 SELECT n.g, n.u, round(coalesce(i.a, 0), 9) AS in_edge, round(coalesce(i.b, 0), 9) AS in_node, round(coalesce(q.a, 0), 9) AS out_edge, round(coalesce(q.b, 0), 9) AS out_node FROM n LEFT JOIN i ON i.g = n.g AND i.u = n.u LEFT JOIN q ON q.g = n.g AND q.u = n.u""")
 def scatter_in_out(spark, root):
-    e = table(spark, root, "lineitem").select(F.col("l_orderkey").alias("g"), (-F.col("l_suppkey")).alias("u"), F.col("l_partkey").alias("v"), "l_discount")
+    e = table(spark, root, "lineitem").select(F.col("l_orderkey").alias("g"), (-1 - F.col("l_suppkey")).alias("u"), F.col("l_partkey").alias("v"), "l_discount")
     n = e.select("g", F.explode(F.array("u", "v")).alias("u")).distinct().withColumn("y", (F.abs("u") % 7).cast("double"))
     out = messages.scatter_sums(e, n, "l_discount", "y")
     return out.select("g", "u", *(F.round(c, 9).alias(c) for c in ("in_edge", "in_node", "out_edge", "out_node")))
