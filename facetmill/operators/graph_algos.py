@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetmill.sources.scratch import Scratch
+from facetmill.sources.scratch import Scratch, one_thread_a_task
 
 
 def hops_by_frontier(edges: DataFrame, most: int = 64) -> DataFrame:
@@ -58,7 +58,7 @@ def hops_by_graph(edges: DataFrame) -> DataFrame:
         i, j = np.indices((n, n)).reshape(2, -1)
         return pd.DataFrame({"g": pdf["g"].iloc[0], "u": nodes[i], "v": nodes[j], "d": d.ravel()})
 
-    return edges.select("g", "u", "v").groupBy("g").applyInPandas(run, "g bigint, u bigint, v bigint, d bigint")
+    return one_thread_a_task(edges).select("g", "u", "v").groupBy("g").applyInPandas(run, "g bigint, u bigint, v bigint, d bigint")
 
 
 def returns_by_join(edges: DataFrame, steps: int = 3, space_dim: int = 0) -> DataFrame:
@@ -101,7 +101,7 @@ def returns_by_graph(edges: DataFrame, steps: int = 16, space_dim: int = 0, dang
             back.append(np.diag(power) * k ** (space_dim / 2))
         return pd.DataFrame({"g": pdf["g"].iloc[0], "u": nodes, "p": [*np.stack(back, 1)]})
 
-    return edges.select("g", "u", "v").groupBy("g").applyInPandas(run, "g bigint, u bigint, p array<double>")
+    return one_thread_a_task(edges).select("g", "u", "v").groupBy("g").applyInPandas(run, "g bigint, u bigint, p array<double>")
 
 
 def _laplacian(a: np.ndarray) -> np.ndarray:
@@ -138,7 +138,7 @@ def laplacian_encodings(edges: DataFrame, k: int = 7, zero: float = 1e-10) -> Da
         scaled = values / values.max() if len(values) else values
         return pd.DataFrame({"g": pdf["g"].iloc[0], "u": nodes, "values": [_padded(scaled, k)] * len(nodes), "vector": [*_padded(vectors, k)]})
 
-    return edges.select("g", "u", "v").groupBy("g").applyInPandas(run, "g bigint, u bigint, values array<double>, vector array<double>")
+    return one_thread_a_task(edges).select("g", "u", "v").groupBy("g").applyInPandas(run, "g bigint, u bigint, values array<double>, vector array<double>")
 
 
 def bary_encodings(links: DataFrame, k: int = 7, zero: float = 1e-9) -> DataFrame:
@@ -161,7 +161,7 @@ def bary_encodings(links: DataFrame, k: int = 7, zero: float = 1e-9) -> DataFram
         shown = _padded(np.clip(values / 2, 0, 1), k)
         return pd.DataFrame({"g": pdf["g"].iloc[0], "cell": cells, "values": [shown] * len(cells), "vector": [*_padded(vectors, k)]})
 
-    return links.select("g", "a", "b").groupBy("g").applyInPandas(run, "g bigint, cell string, values array<double>, vector array<double>")
+    return one_thread_a_task(links).select("g", "a", "b").groupBy("g").applyInPandas(run, "g bigint, cell string, values array<double>, vector array<double>")
 
 
 def nested_encodings(found: DataFrame, k: int = 7, steps: int = 16, zero: float = 1e-10) -> DataFrame:
@@ -191,14 +191,14 @@ def nested_encodings(found: DataFrame, k: int = 7, steps: int = 16, zero: float
                     back.append(np.diag(power).copy())
                 hops = np.full((n, n), -1, np.int32)
                 np.fill_diagonal(hops, 0)
-                front, d = np.eye(n, dtype=bool), 0
+                front, d, links = np.eye(n, dtype=bool), 0, a.astype(np.float32)
                 while front.any():
                     d += 1
-                    front = ((front.astype(np.float32) @ a.astype(np.float32)) > 0) & (hops < 0)
+                    front = ((front.astype(np.float32) @ links) > 0) & (hops < 0)
                     hops[front] = d
                 scaled = values / values.max() if len(values) else values
                 rows.append((g, n, _padded(scaled, k), _padded(vectors, k).ravel(), np.stack(back, 1).ravel(), hops.ravel()))
             yield pd.DataFrame(rows, columns=["g", "n", "values", "vectors", "returns", "hops"])
 
     schema = "g bigint, n int, values array<double>, vectors array<double>, returns array<double>, hops array<int>"
-    return found.select("g", "atoms", "bonds").mapInPandas(run, schema)
+    return one_thread_a_task(found).select("g", "atoms", "bonds").mapInPandas(run, schema)

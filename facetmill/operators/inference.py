@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from facetmill.sources.scratch import one_thread_a_task
+
 
 @dataclass(frozen=True)
 class Block:
@@ -106,7 +108,7 @@ def forward(edges: DataFrame, block: Block) -> DataFrame:
         pooled, logit = embed(block, len(nodes), np.searchsorted(nodes, pdf["u"]), np.searchsorted(nodes, pdf["v"]))
         return pd.DataFrame({"g": [pdf["g"].iloc[0]], "embedding": [pooled], "logit": [logit]})
 
-    return edges.select("g", "u", "v").groupBy("g").applyInPandas(run, "g bigint, embedding array<double>, logit double")
+    return one_thread_a_task(edges).select("g", "u", "v").groupBy("g").applyInPandas(run, "g bigint, embedding array<double>, logit double")
 
 
 def nested_forward(found: DataFrame, block: Block) -> DataFrame:
@@ -120,4 +122,4 @@ def nested_forward(found: DataFrame, block: Block) -> DataFrame:
                 rows.append((g, *embed(block, len(atoms), ends[:, 0], ends[:, 1])))
             yield pd.DataFrame(rows, columns=["g", "embedding", "logit"])
 
-    return found.select("g", "atoms", "bonds").mapInPandas(run, "g bigint, embedding array<double>, logit double")
+    return one_thread_a_task(found).select("g", "atoms", "bonds").mapInPandas(run, "g bigint, embedding array<double>, logit double")

@@ -134,7 +134,9 @@ def molecule_complexes(spark, root):
 @register("molecule_encodings")
 def molecule_encodings(spark, root):
     found = lines.complexes(table(spark, root, "molecules"), "row_id", "molecule_smiles")
-    return graph_algos.nested_encodings(_spread(found)).withColumnRenamed("g", "row_id")
+    full = graph_algos.nested_encodings(_spread(found))
+    back = F.aggregate("returns", F.lit(0.0), lambda s, x: s + x) / F.size("returns")
+    return full.select(F.col("g").alias("row_id"), "n", "values", F.array_max("hops").alias("diameter"), F.round(back, 9).alias("mean_return"))
 
 
 @register("molecule_forward")

@@ -59,3 +59,11 @@ class Scratch:
         """Lets Spark's cleaner remove the shuffle files of finished rounds now rather than at some later collection."""
         gc.collect()
         self.spark._jvm.System.gc()
+
+
+def one_thread_a_task(df: DataFrame) -> DataFrame:
+    """``df``, with the Python workers of later stages told to use one linear-algebra thread, as each has one core."""
+    env = df.sparkSession.sparkContext.environment
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+        env.setdefault(name, "1")
+    return df
