@@ -1,14 +1,13 @@
 """Problem 4: records of the evaluation splits that also stand, exactly or almost, in the training split.
 
-Method: content-defined chunks. A rolling hash cuts the plain spelling of each record into chunks;
-digests of two neighbouring chunks are joined across the splits; shared lengths are summed into
-overlap fractions, and an exact comparison of the runs of six characters decides on candidates.
-
-All records rank their chunk pairs alike, rare ones first. Each posts only the rarest that make up
-1 - UNPOSTED of its length. Two records that share MIN_OVERLAP of the length of both share at least
-MIN_OVERLAP - UNPOSTED of the longer one among their postings: what both share but one does not post
-is less than UNPOSTED. So frequent chunks cost nothing, and no such pair is lost for it. Ranks come from
-counts over all records in a table of SKETCH hashed counters.
+Method: an exact search for pairs whose runs of six characters are alike to LEAST_JACCARD. Two sets of n
+and m runs that reach a Jaccard index j share at least o = j / (1 + j) * (n + m) of them. All records rank
+their runs alike, rare ones first, so such a pair shares a run among the first n - o + 1 of the one and
+m - o + 1 of the other. The evaluation records are the query set: their first runs are indexed in blocks
+of BLOCK records, and the training records are scanned once per block, where they lie. What an index
+hit leaves is held against the parity bits of both records, which never differ in more places than the
+sets do. Both bounds follow from the limit, so no pair is lost; an exact comparison decides on the rest.
+Overlap fractions of a link are those of digests of two neighbouring content-defined chunks.
 
 Copies: rows of the same record are one class from the first Arrow batch on. Classes are compared,
 and the result is expanded to rows at the end.
@@ -32,11 +31,12 @@ from facetmill.sources.scratch import Scratch
 
 RUN = 6
 LEAST_JACCARD = 0.7
-#: Pairs at LEAST_JACCARD share more than this part of their chunk pairs (measured: 0.5 and more).
-MIN_OVERLAP = 0.45
-#: The part of a record's length, in its most frequent chunk pairs, that it does not post.
-UNPOSTED = 0.25
-SKETCH = 1 << 20
+#: Evaluation records that are indexed at a time, and training records that are held against them at a time.
+BLOCK = 65_536
+PROBED = 500
+#: Hashed counters that rank runs, and parity bits of a record.
+COUNTERS = 1 << 18
+PARITY = 256
 
 
 class Overlaps(NamedTuple):
@@ -94,56 +94,145 @@ def chunk_pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return text[pair], np.where(alone, length, length + longer)[pair], mixed[pair]
 
 
-def pair_counts(found: DataFrame) -> np.ndarray:
-    """How many chunk pairs of all records fall on each of SKETCH counters, as far as a task finds a counter well above its mean."""
+def coded_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, run) of all runs of plain spellings, seven bits a character; a shorter text is its own only run."""
+    size = np.array([len(t) for t in texts], np.int64)
+    flat = np.frombuffer("".join(t.ljust(RUN, "\0") for t in texts).encode("ascii"), np.uint8).astype(np.int64)
+    code = np.zeros(max(0, len(flat) - RUN + 1), np.int64)
+    for i in range(RUN):
+        code = (code << 7) | flat[i : i + len(code)]
+    many = np.maximum(size - RUN + 1, 1)
+    text = np.repeat(np.arange(len(texts)), many)
+    held = np.maximum(size, RUN)
+    return text, code[np.arange(len(text)) + np.repeat(np.cumsum(held) - held - np.cumsum(many) + many, many)]
 
-    def count(batches):
-        total = np.zeros(SKETCH, np.int64)
-        for b in batches:
-            _, _, digest = chunk_pairs([t.encode() for t in b.column(0).to_pylist()])
-            total += np.bincount((digest % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-        at = np.flatnonzero(total > 2 * total.mean() + 3)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
-    counts = np.zeros(SKETCH, np.int64)
-    for at, n in found.select("plain").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n")).collect():
-        counts[at] = n
-    return counts
+def _hashed(run: np.ndarray, parts: int) -> np.ndarray:
+    return ((run.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts
 
 
-def postings(found: DataFrame, counts, unposted: float) -> DataFrame:
-    """(digest, k, size, whole): of each class its rarest chunk pairs that make up 1 - unposted of the length of all."""
+def run_ranks(found: DataFrame) -> np.ndarray:
+    """The rank of each of COUNTERS counters of runs, rare ones first."""
 
-    def run(batches):
-        ranks = np.minimum(counts.value, (1 << 23) - 1).astype(np.uint64)
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
         for b in batches:
-            text, length, digest = chunk_pairs([t.encode() for t in b.column(1).to_pylist()])
-            rank = ranks[(digest % np.uint64(SKETCH)).astype(np.int64)]
-            order = np.argsort((text.astype(np.uint64) << np.uint64(44)) | (rank << np.uint64(21)) | (digest >> np.uint64(43)), kind="stable")
-            text, length, digest = text[order], length[order], digest[order]
-            fresh = np.ones(len(text), bool)
-            fresh[1:] = (text[1:] != text[:-1]) | (digest[1:] != digest[:-1])
-            text, length, digest = text[fresh], length[fresh], digest[fresh]
-            run_up = np.cumsum(length) - length
-            first = np.searchsorted(text, np.arange(b.num_rows))
-            whole = np.bincount(text, length, b.num_rows).astype(np.int64)
-            used = run_up - run_up[np.minimum(first, len(text) - 1)][text] <= (1 - unposted) * whole[text]
-            at = text[used]
-            yield pa.RecordBatch.from_arrays([pa.array(digest[used].view(np.int64)), b.column(0).take(pa.array(at)), pa.array(length[used].astype(np.int32)), pa.array(whole[at].astype(np.int32))], names=["digest", "k", "size", "whole"])
-
-    return found.select("ka", "plain").mapInArrow(run, "digest bigint, k bigint, size int, whole int")
-
-
-def candidates(found: DataFrame, scratch: Scratch, min_overlap: float, unposted: float) -> DataFrame:
-    """(ta, ea): classes of train and of other splits whose postings share enough length."""
-    counts = found.sparkSession.sparkContext.broadcast(pair_counts(found))
-    sides = []
-    for name in ("train", "eval"):
-        posted = postings(found.where(F.size(f"{name}_ids") > 0), counts, unposted).repartition("digest")
-        side = posted.groupBy("digest", "k").agg(F.first("size").alias("size"), F.first("whole").alias("whole"))
-        sides.append(side.select("digest", F.col("k").alias(f"{name[0]}a"), F.col("size").alias(f"{name[0]}s"), F.col("whole").alias(f"{name[0]}w")))
-    shared = sides[0].join(sides[1], "digest").where("ta <> ea").groupBy("ta", "ea").agg(F.sum("ts").alias("both"), F.max(F.greatest("tw", "ew")).alias("whole"))
-    return scratch.write(shared.where(F.col("both") >= (min_overlap - unposted) * F.col("whole")).select("ta", "ea"), "candidates")
+            total += np.bincount(_hashed(coded_runs(b.column(0).to_pylist())[1], COUNTERS), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    rows = found.select("plain").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    ranks = np.empty(COUNTERS, np.int64)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(COUNTERS)
+    return ranks
+
+
+class FirstRuns(NamedTuple):
+    """Of each text the number of its distinct runs and its parity bits; of each of its first runs the text, the place and the run."""
+
+    size: np.ndarray
+    parity: np.ndarray
+    text: np.ndarray
+    place: np.ndarray
+    run: np.ndarray
+
+
+def first_runs(texts: list[str], ranks: np.ndarray, least: float) -> FirstRuns:
+    """The rarest runs of each text, as many as any text that reaches ``least`` with it can miss, and one more."""
+    text, run = coded_runs(texts)
+    ranked = (ranks[_hashed(run, COUNTERS)] << (7 * RUN)) | run
+    order = np.lexsort((ranked, text))
+    text, ranked = text[order], ranked[order]
+    fresh = np.ones(len(text), bool)
+    fresh[1:] = (text[1:] != text[:-1]) | (ranked[1:] != ranked[:-1])
+    text, ranked = text[fresh], ranked[fresh]
+    size = np.bincount(text, minlength=len(texts))
+    odd = np.bincount(text * PARITY + _hashed(ranked & ((1 << (7 * RUN)) - 1), PARITY), minlength=len(texts) * PARITY) & 1
+    parity = np.packbits(odd.astype(np.uint8).reshape(-1, PARITY), axis=1).view(np.uint64)
+    place = np.arange(len(text)) - (np.cumsum(size) - size)[text]
+    used = place <= size[text] - np.ceil(least * size - 1e-9).astype(np.int64)[text]
+    return FirstRuns(size, parity, text[used], place[used], ranked[used])
+
+
+class RunIndex(NamedTuple):
+    """The first runs of a block of records: distinct runs, and postings by run and size of the record.
+
+    room: what a record's own size leaves for the share of the other one, from the place of the run on.
+    """
+
+    keys: np.ndarray
+    size: np.ndarray
+    parity: np.ndarray
+    runs: np.ndarray
+    at: np.ndarray
+    text: np.ndarray
+    room: np.ndarray
+
+
+def index_runs(keys: np.ndarray, texts: list[str], ranks: np.ndarray, least: float) -> RunIndex:
+    parts = [first_runs(texts[i : i + 5_000], ranks, least) for i in range(0, len(texts), 5_000)]
+    size, parity = np.concatenate([p.size for p in parts]), np.concatenate([p.parity for p in parts])
+    text = np.concatenate([p.text + 5_000 * i for i, p in enumerate(parts)])
+    place = np.concatenate([p.place for p in parts])
+    runs, which = np.unique(np.concatenate([p.run for p in parts]), return_inverse=True)
+    at = (which << 32) | size[text]
+    order = np.argsort(at, kind="stable")
+    room = size[text] * (1 - least / (1 + least)) - place
+    return RunIndex(keys, size, parity, runs, at[order], text[order].astype(np.int32), room[order] + 1e-6)
+
+
+def probe(index: RunIndex, texts: list[str], ranks: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(text, indexed text), each pair once, of all that may reach ``least``."""
+    f = first_runs(texts, ranks, least)
+    part = least / (1 + least)
+    run = np.minimum(np.searchsorted(index.runs, f.run), len(index.runs) - 1)
+    hit = index.runs[run] == f.run
+    text, place, run = f.text[hit], f.place[hit], run[hit]
+    n = f.size[text]
+    # the shared runs o = part * (n + m) fit into what follows the place, own place included: a bound on the size m
+    low = np.ceil(least * n - 1e-9).astype(np.int64)
+    high = np.floor((n - place) / part - n + 1e-6).astype(np.int64)
+    start = np.searchsorted(index.at, (run << 32) | low, side="left")
+    many = np.maximum(np.searchsorted(index.at, (run << 32) | np.maximum(high, 0), side="right") - start, 0)
+    i = np.repeat(np.arange(len(text)), many)
+    j = np.arange(len(i)) + np.repeat(start - np.cumsum(many) + many, many)
+    fits = index.room[j] >= (part * n)[i]
+    t, e = text[i[fits]], index.text[j[fits]]
+    differ = np.bitwise_count(f.parity[t] ^ index.parity[e]).sum(1, dtype=np.int64)
+    total = f.size[t] + index.size[e]
+    near = differ <= total - 2 * part * total + 1e-6
+    pairs = np.unique(t[near] * len(index.size) + e[near])
+    return pairs // len(index.size), pairs % len(index.size)
+
+
+def candidates(found: DataFrame, scratch: Scratch, least: float, block: int = BLOCK) -> DataFrame:
+    """(ta, ea): classes of train and of other splits that may reach ``least``, one block of the others at a time."""
+    spark = found.sparkSession
+    ranks = spark.sparkContext.broadcast(run_ranks(found))
+    wanted = scratch.write(found.where(F.size("eval_ids") > 0).select("ka", "kb", "plain").dropDuplicates(["ka", "kb"]), "wanted")
+    train = found.where(F.size("train_ids") > 0).select("ka", "plain")
+    n = max(1, -(-wanted.count() // block))
+    out = None
+    for k in range(n):
+        own = wanted.where(F.pmod(F.xxhash64("kb"), F.lit(n)) == k).select("ka", "plain").toPandas()
+        if not len(own):
+            continue
+        held = spark.sparkContext.broadcast(index_runs(own["ka"].to_numpy(np.int64), own["plain"].tolist(), ranks.value, least))
+
+        def run(batches, held=held):
+            for b in batches:
+                keys = b.column(0).to_numpy()
+                for at in range(0, b.num_rows, PROBED):
+                    t, e = probe(held.value, b.column(1).slice(at, PROBED).to_pylist(), ranks.value, least)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + PROBED][t]), pa.array(held.value.keys[e])], names=["ta", "ea"])
+
+        part = train.mapInArrow(run, "ta bigint, ea bigint")
+        out = part if out is None else out.unionAll(part)
+    if out is None:
+        out = found.selectExpr("ka as ta", "ka as ea").limit(0)
+    return scratch.write(out.where("ta <> ea").distinct(), "candidates")
 
 
 def verify(pairs: DataFrame, least: float) -> DataFrame:
@@ -167,7 +256,7 @@ def verify(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.mapInArrow(run, "ta bigint, tb bigint, ea bigint, eb bigint, jaccard double, overlap_t double, overlap_e double")
 
 
-def overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str = "train", least: float = LEAST_JACCARD, min_overlap: float = MIN_OVERLAP, unposted: float = UNPOSTED) -> Overlaps:
+def overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str = "train", least: float = LEAST_JACCARD) -> Overlaps:
     """Links between record classes with rows in ``train`` and classes with rows in another split.
 
     Rows with a null id, a null split, or a null, blank or mark-only text take no part. A class with rows on both
@@ -177,7 +266,7 @@ def overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, train: s
     spark = df.sparkSession
     scratch = Scratch(spark, "overlap")
     found = scratch.write(classes(df, id_col, text_col, split_col, train), "classes")
-    near = candidates(found, scratch, min_overlap, unposted)
+    near = candidates(found, scratch, least)
     scratch.tidy()
 
     def side(name: str) -> DataFrame:

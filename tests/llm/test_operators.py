@@ -134,6 +134,34 @@ def test_overlaps_against_brute_force(spark):
     assert sum(r.n_rows for r in cross_split.report(df, found, "row_id", "split", "source").collect()) == sum(1 for r in rows if r[2] is not None and r[2].strip().lower() != "train")
 
 
+def test_overlaps_with_two_edits(spark):
+    """Two separate edits of 75 characters leave a Jaccard index just above 0.7, but few whole chunks."""
+    dice = random.Random(11)
+    rows, want = [], set()
+    for i in range(150):
+        s = "".join(dice.choice("BCNOPSFI") for _ in range(75))
+        t = s[:20] + ("N" if s[20] == "C" else "C") + s[21:52] + ("N" if s[52] == "C" else "C") + s[53:]
+        x, y = cross_split.runs_of(s), cross_split.runs_of(t)
+        rows += [(2 * i, s, "train"), (2 * i + 1, t, "test")]
+        if len(x & y) >= 0.7 * len(x | y):
+            want.add((2 * i, 2 * i + 1))
+    got = cross_split.row_pairs(cross_split.overlaps(molecules(spark, rows), "row_id", "molecule_smiles", "split"))
+    assert len(want) > 100 and {(r[0], r[1]) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("least", [0.5, 0.7, 0.9])
+def test_probe_keeps_every_pair(least):
+    dice = random.Random(12)
+    texts = ["".join(dice.choice("CN(") for _ in range(dice.randint(1, 60))) for _ in range(150)]
+    texts += [t[: len(t) // 3] + "O" + t[len(t) // 3 :] for t in texts]
+    ranks = np.random.default_rng(1).permutation(cross_split.COUNTERS)
+    index = cross_split.index_runs(np.arange(len(texts)), texts, ranks, least)
+    got = set(zip(*map(np.ndarray.tolist, cross_split.probe(index, texts, ranks, least))))
+    runs = [cross_split.runs_of(t) for t in texts]
+    want = {(i, j) for i, x in enumerate(runs) for j, y in enumerate(runs) if len(x & y) >= least * len(x | y)}
+    assert len(want) >= len(texts) and want <= got
+
+
 def test_chunks_are_content_defined():
     text = bytes(random.Random(5).choice(b"CNOcnos()=#123") for _ in range(400))
     t, n, d = cut_chunks([b"", text, b"ab", b"XYZ" + text])
