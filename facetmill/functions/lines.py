@@ -1,7 +1,7 @@
 """Line notation to cell complexes: a tolerant reader for molecule strings, one Arrow pass.
 
-Reads atoms, bonds, branches, ring marks and components. It checks syntax, not chemistry: a string
-it can't read gives no graph and goes to quarantine. Rings are the cycles that ring marks close:
+Reads atoms, bonds, branches, ring marks and components of the plain spelling of a string. It checks
+syntax, not chemistry: a string it can't read gives no graph and goes to quarantine. Rings are the cycles that ring marks close:
 the shortest way between the two ends when the mark closes.
 """
 
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetmill.functions.spelling import plain_spelling
+
 _TOKEN = re.compile(r"(\[[^\[\]]+\]|Br|Cl|[BCNOFPSI]|[bcnops]|\*)|(%\d\d|\d)|([-=#$:/\\~])|([().])")
 _SYMBOL = re.compile(r"\[\d*([A-Z][a-z]?|[a-z][a-z]?|\*)")
 
@@ -95,11 +97,11 @@ _COMPLEX = "g bigint, atoms array<string>, bonds array<struct<u:bigint,v:bigint,
 
 
 def complexes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(g, atoms, bonds, rings): the nested cell complex of each readable string; others are left out, see ``unreadable``."""
+    """(g, atoms, bonds, rings): the nested cell complex of each string with a readable plain spelling; others are left out, see ``unreadable``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(g, read_line(t)) for g, t in zip(b["g"], b["t"])]
+            rows = [(g, read_line(plain_spelling(t))) for g, t in zip(b["g"], b["t"])]
             rows = [(g, r) for g, r in rows if r]
             if not rows:
                 continue

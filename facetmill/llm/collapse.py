@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetmill.llm.spelling import plain_spelling
+from facetmill.functions.spelling import plain_spelling
 from facetmill.sources.scratch import Scratch
 
 #: Rows whose copies are grouped together before anything is shuffled.

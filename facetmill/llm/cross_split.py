@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetmill.functions.spelling import plain_spelling
 from facetmill.llm.chunks import cut_chunks
 from facetmill.llm.collapse import BATCH_ROWS
 from facetmill.llm.group_split import split_name
-from facetmill.llm.spelling import plain_spelling
 from facetmill.sources.scratch import Scratch
 
 RUN = 6

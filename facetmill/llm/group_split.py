@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from facetmill.functions.spelling import plain_spelling
 from facetmill.llm.collapse import BATCH_ROWS, CARRIED_IDS
-from facetmill.llm.spelling import plain_spelling
 from facetmill.operators.components import connected_components
 from facetmill.sources.scratch import Scratch
 

@@ -131,6 +131,13 @@ def molecule_complexes(spark, root):
     return found.select(F.col("g").alias("row_id"), F.size("atoms").alias("n_atoms"), F.size("bonds").alias("n_bonds"), F.size("rings").alias("n_rings"))
 
 
+@register("molecule_unreadable")
+def molecule_unreadable(spark, root):
+    """Rows that give no graph: strings that can't be read, none at all, or no row number."""
+    rows = table(spark, root, "molecules", ["row_id", "molecule_smiles"])
+    return lines.unreadable(rows, lines.complexes(rows, "row_id", "molecule_smiles"), "row_id")
+
+
 @register("molecule_encodings")
 def molecule_encodings(spark, root):
     found = lines.complexes(table(spark, root, "molecules"), "row_id", "molecule_smiles")

@@ -139,6 +139,21 @@ def test_samples(spark):
     assert sorted((r["at"], r.k) for r in sampling.gather(df, "k", ids, "i", "at").collect()) == [(0, 9), (1, 3), (2, 9)]
 
 
+def test_line_reader_takes_every_spelling(spark):
+    base = "CC(Cl)c1c(Br)cccc1N[Dy]"
+    forms = [base, f" {base}\n", "CC(Cl)c1c(B\u200br)cccc1N[Dy]", "\u201cCC\uff08Cl\uff09c1c(Br)cccc1N[Dy]\u201d;", "CC(CL)c1c(br)cccc1NDY", "C\u2013C(Cl)c1c(Br)cccc1N[dy]"]
+    df = spark.createDataFrame([*enumerate(forms), (90, "C("), (91, None), (92, " "), (None, "C")], "row_id long, s string")
+    found = lines.complexes(df, "row_id", "s")
+    got = {r.g: (r.atoms, r.bonds, r.rings) for r in found.collect()}
+    assert set(got) == set(range(len(forms))) and all(x == got[0] for x in got.values())
+    assert {r.row_id for r in lines.unreadable(df, found, "row_id").collect()} == {90, 91, 92, None}
+
+
+def test_unreadable_molecules_are_reported(spark, tmp_path):
+    spark.createDataFrame([(1, "CCDy "), (2, "C(")], "row_id long, molecule_smiles string").write.parquet(str(tmp_path / "molecules.parquet"))
+    assert [r.row_id for r in catalog.queries()["molecule_unreadable"](spark, str(tmp_path)).collect()] == [2]
+
+
 def test_similarity(spark):
     dice = np.random.default_rng(2)
     v = [np.packbits(dice.random(2048) < 0.05).tobytes() for _ in range(40)] + [bytes(256)]
