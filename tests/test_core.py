@@ -171,6 +171,27 @@ def test_similarity(spark):
     assert setsim.nearest_similarity(df.limit(0), df, "row_id", "fps").count() == 0
 
 
+def test_discrepancy_takes_all_rows(spark):
+    """More rows than any cap on a side: few different vectors, so that the means follow from their counts."""
+    v = [bytes([255] * 32 + [0] * 224), bytes([15] * 32 + [0] * 224), bytes(256)]
+    n_a, n_b = 50_400, 30
+    a = spark.range(n_a).select(F.col("id").alias("row_id"), F.when(F.col("id") < n_a - 400, F.lit(v[0])).otherwise(F.lit(v[1])).alias("fps"))
+    b = spark.createDataFrame([(i, v[2] if i < 10 else v[1]) for i in range(n_b)], "row_id long, fps binary")
+    d = setsim.discrepancy(a, b, "row_id", "fps").first()
+    p, q = n_a - 400, 400
+    exx = (p * (p - 1) + q * (q - 1) + p * q) / (n_a * (n_a - 1))
+    assert (d.n_a, d.n_b) == (n_a, n_b) and np.isclose(d.exx, exx, atol=1e-9)
+    assert np.isclose(d.eyy, 20 * 19 / (30 * 29), atol=1e-9) and np.isclose(d.exy, (p * 20 * 0.5 + q * 20) / (n_a * n_b), atol=1e-9)
+
+
+def test_discrepancy_in_blocks(spark):
+    dice = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, np.packbits(dice.random(2048) < 0.05).tobytes()) for i in range(60)], "row_id long, fps binary")
+    a, b = df.where("row_id < 40"), df.where("row_id >= 40")
+    whole, cut = (setsim.discrepancy(a, b, "row_id", "fps", block=n).first() for n in (4096, 7))
+    assert np.allclose(list(whole), list(cut), atol=1e-12)
+
+
 def test_packing_rules(spark):
     rows = [(0, 5, 1), (1, 5, 1), (2, 30, 1), (3, 4, 1), (4, 4, 50), (5, 1, 1), (6, 1, 1), (7, 1, 1), (8, 1, 1)]
     got = batching.token_buckets(spark.createDataFrame(rows, "k long, n long, e long"), "k", "n", "e", 10, 20, 3).collect()
