@@ -1,9 +1,12 @@
 """Problem 8: documents that hold passages of evaluation items, and which items leaked.
 
-Method: SimHash fingerprints of windows of the passage length, of items and of documents. Item
-fingerprints are indexed by RADIUS + 1 blocks of bits: two fingerprints within the radius agree in
-one block at least, so the index finds every window within it. Candidates are verified by the
-exact weighted similarity of the windows' five-word shingles, rarer shingles weighing more.
+Method: SimHash fingerprints of windows of the passage length, of items and of documents, find what is
+whole or nearly so. Item fingerprints are indexed by RADIUS + 1 blocks of bits: two fingerprints within
+the radius agree in one block at least, so the index finds every window within it. But a window with
+one other word is mostly further away, so the near search does not rest on them: two windows alike to any
+degree share a five-word shingle, and an index of the items' shingles gives, for each pair of windows
+that share some, a bound on their similarity. Candidates of both are verified by the exact weighted
+similarity of the windows' five-word shingles, rarer shingles weighing more.
 
 Equal windows have equal fingerprints, so a passage of WORDS words in a row is always found. The
 items are the stated query set: they are indexed in blocks of BLOCK_ITEMS, and every document is
@@ -16,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
 from collections import Counter
 from typing import NamedTuple
 
@@ -34,12 +38,18 @@ BLOCK_ITEMS = 20_000
 FILTER_BITS = 20
 #: Words whose windows are fingerprinted at a time.
 STRETCH = 60_000
+#: Pairs of windows that are bounded at a time.
+PAIRS = 2_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 
 
 class Index(NamedTuple):
-    """Item windows: fingerprints, their items and words, sorted blocks, and the weight of each shingle."""
+    """Item windows: fingerprints, their items and words, sorted blocks, and the weight of each shingle.
+
+    codes, code_weights: the items' shingles, sorted, and their weights. begins, holders: of the n-th shingle the item windows that
+    hold it are holders[begins[n] : begins[n + 1]]. totals: the weight of all shingles of a window.
+    """
 
     prints: np.ndarray
     items: np.ndarray
@@ -49,6 +59,11 @@ class Index(NamedTuple):
     orders: list[np.ndarray]
     weights: dict[tuple[str, ...], float]
     most: float
+    codes: np.ndarray
+    code_weights: np.ndarray
+    begins: np.ndarray
+    holders: np.ndarray
+    totals: np.ndarray
 
 
 #: ASCII characters that are no letters or digits become blanks, capitals small letters.
@@ -108,6 +123,17 @@ def window_prints(signs: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(total > 0, axis=1).view(np.uint64).ravel()
 
 
+def shingle_codes(signs: np.ndarray, shingle: int) -> np.ndarray:
+    """A 64-bit code of every run of ``shingle`` words."""
+    n = max(0, len(signs) - shingle + 1)
+    words = np.packbits(signs > 0, axis=1).view(np.uint64).ravel()
+    code = np.zeros(n, np.uint64)
+    for i in range(shingle):
+        code = (code ^ words[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        code ^= code >> np.uint64(29)
+    return code
+
+
 def _blocks(prints: np.ndarray, radius: int) -> list[np.ndarray]:
     width = 64 // (radius + 1)
     return [((prints >> np.uint64(i * width)) & np.uint64((1 << width) - 1)).astype(np.int64) for i in range(radius + 1)]
@@ -133,7 +159,22 @@ def build_index(items: list[tuple[int, str]], size: int, shingle: int, radius: i
         present.append(np.zeros(1 << FILTER_BITS, bool))
         present[-1][block & ((1 << FILTER_BITS) - 1)] = True
     weights = {s: 1 + math.log(len(items) / n) for s, n in holders.items()}
-    return Index(flat, np.array(owners, np.int64), windows, present, ordered, orders, weights, 1 + math.log(max(1, len(items))))
+    names = [*weights]
+    coded = [shingle_codes(signs.of([w for s in names[i : i + 5_000] for w in s]), shingle)[::shingle] for i in range(0, len(names), 5_000)]
+    # two shingles with one code are one: the heavier weight keeps the bound a bound
+    codes, which = np.unique(np.concatenate(coded) if coded else np.empty(0, np.uint64), return_inverse=True)
+    code_weights = np.zeros(len(codes))
+    np.maximum.at(code_weights, which, np.array([weights[s] for s in names], float))
+    number = dict(zip(names, which.tolist()))
+    totals, shared, holding = np.zeros(len(windows)), array("i"), array("i")
+    for k, w in enumerate(windows):
+        own = {w[i : i + shingle] for i in range(size - shingle + 1)}
+        totals[k] = sum(weights[s] for s in own)
+        shared.extend(number[s] for s in own)
+        holding.extend([k] * len(own))
+    order = np.argsort(np.array(shared), kind="stable")
+    begins = np.searchsorted(np.array(shared)[order], np.arange(len(codes) + 1))
+    return Index(flat, np.array(owners, np.int64), windows, present, ordered, orders, weights, 1 + math.log(max(1, len(items))), codes, code_weights, begins, np.array(holding)[order], totals)
 
 
 def shingle_similarity(a: tuple[str, ...], b: tuple[str, ...], shingle: int, weights: dict[tuple[str, ...], float], most: float) -> float:
@@ -161,6 +202,46 @@ def _candidates(prints: np.ndarray, index: Index, radius: int) -> np.ndarray:
     return np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
 
 
+def _sharing(signs: np.ndarray, index: Index, size: int, shingle: int, least: float) -> np.ndarray:
+    """(window, item window), each once, of all pairs whose shared shingles may reach ``least`` of the item window's weight."""
+    codes = shingle_codes(signs, shingle)
+    if size < shingle or not len(index.codes) or not len(codes):
+        return np.empty((2, 0), np.int64)
+    at = np.minimum(np.searchsorted(index.codes, codes), len(index.codes) - 1)
+    hit = np.flatnonzero(index.codes[at] == codes)
+    at = at[hit]
+    width, n = size - shingle + 1, len(signs) - size + 1
+    cost = np.cumsum(width * (index.begins[at + 1] - index.begins[at]))
+    found = []
+
+    def bound(first: int, last: int):
+        """Pairs of the windows from ``first`` to before ``last``: halves while there are too many."""
+        lo, hi = np.searchsorted(hit, (first, last + width - 1))
+        if lo == hi:
+            return
+        if last - first > 1 and cost[hi - 1] - (cost[lo - 1] if lo else 0) > PAIRS:
+            middle = (first + last) // 2
+            bound(first, middle)
+            bound(middle, last)
+            return
+        p, a = hit[lo:hi], at[lo:hi]
+        many = index.begins[a + 1] - index.begins[a]
+        k = index.holders[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(index.begins[a], many)]
+        i = (np.repeat(p, many)[:, None] - np.arange(width)).ravel()
+        k, w = np.repeat(k, width), np.repeat(np.repeat(index.code_weights[a], many), width)
+        inside = (i >= first) & (i < last)
+        pairs, which = np.unique(i[inside] * len(index.items) + k[inside], return_inverse=True)
+        # a shingle that stands twice in a window counts twice here, which only lifts the bound
+        shared = np.bincount(which, w[inside], len(pairs))
+        i, k = pairs // len(index.items), pairs % len(index.items)
+        near = shared >= least * index.totals[k] - 1e-6
+        found.append(np.stack([i[near], k[near]]))
+
+    if n > 0:
+        bound(0, n)
+    return np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+
+
 def leaked_windows(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, size: int = WORDS, shingle: int = SHINGLE, least: float = LEAST, radius: int = RADIUS, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(doc_id, item_id, n_windows, n_equal): how many windows of the item a document holds nearly, and how many exactly.
 
@@ -190,7 +271,8 @@ def _scan(held, size: int, shingle: int, least: float, radius: int):
             found: dict[tuple[int, int], list[int]] = {}
             if len(words) >= size and len(index.prints):
                 starts = np.array(begins)
-                i, j = _candidates(window_prints(signs.of(words), size), index, radius)
+                rows = signs.of(words)
+                i, j = np.unique(np.concatenate([_candidates(window_prints(rows, size), index, radius), _sharing(rows, index, size, shingle, least)], axis=1), axis=1)
                 text = np.searchsorted(starts, i, side="right") - 1
                 within = i + size <= np.append(starts[1:], len(words))[text]
                 for at, k, t in zip(i[within].tolist(), j[within].tolist(), text[within].tolist()):

@@ -235,6 +235,32 @@ def test_leaks(spark):
     assert leaks.leaked_windows(df.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
 
 
+def test_near_windows_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "PAIRS", 500)
+    dice = random.Random(21)
+    texts = [[f"w{dice.randint(0, 400)}" for _ in range(dice.randint(40, 99))] for _ in range(12)]
+    texts[5][10:25] = texts[6][10:25] = texts[7][20:35] = ["the"] * 6 + ["same", "start", "of", "an", "item"] + ["x"] * 4
+    docs = []
+    for i, t in enumerate(texts):
+        edited = list(t)
+        for at in range(12, len(t), 13):
+            edited[at] = f"z{at}"
+        docs += [(3 * i, edited), (3 * i + 1, t[:20] + ["in", "between"] + t[20:]), (3 * i + 2, [f"w{dice.randint(0, 400)}" for _ in range(80)])]
+    got = leaks.leaked_windows(
+        spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"), "doc_id", "text",
+        spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "item_id long, text string"), "item_id", "text",
+    )
+    index = leaks.build_index([(i, " ".join(w)) for i, w in enumerate(texts)], 13, 5, 2)
+    want = Counter()
+    for d, words in docs:
+        for at in range(len(words) - 12):
+            window = tuple(words[at : at + 13])
+            want.update((d, int(index.items[k])) for k, w in enumerate(index.words) if leaks.shingle_similarity(window, w, 5, index.weights, index.most) >= 0.8)
+    assert {(r.doc_id, r.item_id): r.n_windows for r in got.collect()} == want
+    # one other word in every 13: no window is whole, and still each item is reported
+    assert {(3 * i, i) for i in range(12)} <= set(want)
+
+
 def test_window_prints_match_plain_simhash():
     words = [f"w{i % 9}" for i in range(40)]
     signs = leaks.Signs(13)
