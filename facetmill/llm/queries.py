@@ -161,18 +161,14 @@ def p9_mix(spark: SparkSession, root: str) -> DataFrame:
     return mixing.select_documents(members, spark.createDataFrame(flows, mixing.FLOWS))
 
 
-def _spam(spark: SparkSession, root: str) -> DataFrame:
-    return spam.spam_pages(table(spark, root, "documents"), "doc_id", "text", "lang")
-
-
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     """Pages more than half of whose words are keywords, links, menus or tags in a row."""
-    return _spam(spark, root).select("doc_id").distinct()
+    return spam.spam_ids(table(spark, root, "documents"), "doc_id", "text", "lang")
 
 
 def p10_pages(spark: SparkSession, root: str) -> DataFrame:
     """The same pages with the share of such words and the fit of their rank-frequency curve."""
-    return _spam(spark, root)
+    return spam.spam_pages(table(spark, root, "documents"), "doc_id", "text", "lang")
 
 
 _USABLE = """

@@ -1,16 +1,15 @@
 """Problem 10: pages made of repeated keywords, lists of links, menus, hash tags or product tags.
 
-Method: the rank-frequency curve of each page's words, fitted with SQL windows. In prose the n-th most
-frequent word has a frequency near n ** -slope; keyword pages are flat or steep, lists of links
-bend. Each page gets the slope, the residual of the fit, and the divergence of the head of its curve
-from the word frequencies of its language. Pages that are extreme in one of these, by the medians
-and spreads of pages of their language and length over the whole corpus, are suspects.
-
-An exact check decides on suspects: the words that stand in runs of list items that are links,
+Method: an exact check of every page: the words that stand in runs of list items that are links,
 tags, menu paths, priced products or repeated keywords must be more than half of the page. Honest
-reference lists, tables and logs are lists as well, but none of these.
-
-The texts are shuffled once, by document; words, counts, ranks and fits stay in that partitioning.
+reference lists, tables and logs are lists as well, but none of these. No page is left out by how it
+compares with others, so that a corpus rich in such pages can't make them the norm.
+
+The rank-frequency curve of each page's words, fitted with SQL windows, describes the pages found. In
+prose the n-th most frequent word has a frequency near n ** -slope; keyword pages are flat or steep,
+lists of links bend. Each page gets the slope, the residual of the fit, and the divergence of the head
+of its curve from the word frequencies of its language. For the fits the texts are shuffled once, by
+document; words, counts, ranks and fits stay in that partitioning.
 """
 
 from __future__ import annotations
@@ -28,10 +27,6 @@ from facetmill.sources.scratch import Scratch
 #: Ranks of a curve whose words are held against the language's frequencies, and hash buckets of words of a language.
 RANKS = 48
 WORD_BUCKETS = 4096
-#: Languages and lengths with fewer pages than this are judged by all languages, or by all pages.
-CLASS_PAGES = 50
-#: Deviations from the class median, in units of its spread, beyond which a page is a suspect.
-EXTREME = 2.0
 LEAST_SHARE = 0.5
 
 _WORD = re.compile(r"[^\W_]+")
@@ -61,12 +56,11 @@ def rank_curves(docs: DataFrame) -> DataFrame:
 
 
 def page_fits(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, lang, size_class, slope, residual, head): the fit of each page and the head of its curve."""
+    """(doc_id, lang, slope, residual, head): the fit of each page and the head of its curve."""
     x, y = F.ln("r"), F.ln("p")
     head = F.struct("r", F.col("p").cast("float").alias("p"), "bucket")
     fits = rank_curves(docs).groupBy("doc_id").agg(
         F.first("lang").alias("lang"),
-        F.floor(F.log2(F.first("n_words"))).cast("int").alias("size_class"),
         F.regr_slope(y, x).alias("slope"),
         F.sqrt(F.greatest(F.lit(0.0), F.regr_syy(y, x) - F.pow(F.regr_sxy(y, x), 2) / F.nullif(F.regr_sxx(y, x), F.lit(0.0))) / F.count("*")).alias("residual"),
         F.collect_list(F.when(F.col("r") <= RANKS, head)).alias("head"),
@@ -83,24 +77,6 @@ def divergences(fits: DataFrame) -> DataFrame:
     return heads.join(F.broadcast(usual), ["lang", "bucket"]).groupBy("doc_id").agg(F.sum(F.col("p") * F.ln(F.col("p") / F.col("q"))).alias("divergence"))
 
 
-def suspects(docs: DataFrame, scratch: Scratch, extreme: float = EXTREME) -> DataFrame:
-    """(doc_id, slope, residual, divergence, ..) of the pages that are extreme for their language and length."""
-    fits = page_fits(docs, scratch)
-    scored = scratch.write(fits.drop("head").join(divergences(fits), "doc_id"), "scored")
-    measures = ("slope", "residual", "divergence")
-    spread = [F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(m) for m in measures] + [F.count("*").alias("pages")]
-    levels = [["lang", "size_class"], ["size_class"], []]
-    judged = scored.withColumn("of", F.lit(None).cast("struct<slope:array<double>,residual:array<double>,divergence:array<double>>"))
-    for keys in levels:
-        found = scored.groupBy(*keys).agg(*spread)
-        found = (found.where(F.col("pages") >= CLASS_PAGES) if keys else found).select(*keys, F.struct(*measures).alias("found"))
-        judged = (judged.join(F.broadcast(found), keys, "left") if keys else judged.join(F.broadcast(found))).withColumn("of", F.coalesce("of", "found")).drop("found")
-    far = {m: (F.col(m) - F.col(f"of.{m}")[1]) / F.greatest(F.col(f"of.{m}")[2] - F.col(f"of.{m}")[0], F.lit(1e-6)) for m in measures}
-    # a fit needs two ranks: a page of one word over and over has none and is a suspect
-    odd = (F.abs(far["slope"]) > extreme) | (F.abs(far["residual"]) > extreme) | (F.abs(far["divergence"]) > extreme) | F.col("slope").isNull()
-    return judged.withColumns({f"{m}_z": far[m] for m in measures}).where(odd).drop("of")
-
-
 def _list_lines(text: str) -> Iterator[list[str]]:
     """Stretches of lines that are list items or lists of items, not sentences."""
     run: list[str] = []
@@ -154,21 +130,36 @@ def listed_words(text: str) -> tuple[int, int]:
     return found, len(_WORD.findall(text))
 
 
-def spam_pages(df: DataFrame, id_col: str, text_col: str, lang_col: str, least_share: float = LEAST_SHARE, extreme: float = EXTREME) -> DataFrame:
-    """(doc_id, share, slope, residual, divergence) of the pages with more than ``least_share`` of their words in such runs.
+def _pages(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), language(F.col(lang_col)).alias("lang"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and length(text) > 0")
 
-    Null ids and null, empty or wordless texts are left out; an unknown language is a class of its own. Ids are unique; of a repeated
-    id all rows are one page for the fit, and each row is checked. Texts are read whole.
-    """
-    scratch = Scratch(df.sparkSession, "spam")
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), language(F.col(lang_col)).alias("lang"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and length(text) > 0")
-    odd = scratch.write(suspects(docs, scratch, extreme).select("doc_id", "slope", "residual", "divergence"), "suspects")
+
+def listed_pages(docs: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
+    """(doc_id, share) of the pages with more than ``least_share`` of their words in such runs; docs is (doc_id, text, ..)."""
 
     def check(batches):
         for b in batches:
             counted = [listed_words(t) for t in b.column(1).to_pylist()]
             share = pa.array([n / max(1, total) for n, total in counted], pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0), share, *b.columns[2:]], names=["doc_id", "share", "slope", "residual", "divergence"])
+            yield pa.RecordBatch.from_arrays([b.column(0), share], names=["doc_id", "share"])
 
-    checked = docs.select("doc_id", "text").join(odd, "doc_id").mapInArrow(check, "doc_id bigint, share double, slope double, residual double, divergence double")
-    return checked.where(F.col("share") > least_share)
+    return docs.select("doc_id", "text").mapInArrow(check, "doc_id bigint, share double").where(F.col("share") > least_share)
+
+
+def spam_ids(df: DataFrame, id_col: str, text_col: str, lang_col: str, least_share: float = LEAST_SHARE) -> DataFrame:
+    """(doc_id) of the pages of ``spam_pages``, without the fits."""
+    return listed_pages(_pages(df, id_col, text_col, lang_col), least_share).select("doc_id").distinct()
+
+
+def spam_pages(df: DataFrame, id_col: str, text_col: str, lang_col: str, least_share: float = LEAST_SHARE) -> DataFrame:
+    """(doc_id, share, slope, residual, divergence) of the pages with more than ``least_share`` of their words in such runs.
+
+    Null ids and null, empty or wordless texts are left out; an unknown language is one of its own. Ids are unique; of a repeated
+    id all rows are one page for the fit, and each row is checked. Texts are read whole.
+    """
+    scratch = Scratch(df.sparkSession, "spam")
+    docs = _pages(df, id_col, text_col, lang_col)
+    found = scratch.write(listed_pages(docs, least_share), "listed")
+    fits = page_fits(docs, scratch)
+    scored = fits.select("doc_id", "slope", "residual").join(divergences(fits), "doc_id", "left")
+    return found.join(scored, "doc_id", "left").select("doc_id", "share", "slope", "residual", "divergence")

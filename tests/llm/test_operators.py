@@ -357,3 +357,15 @@ def test_spam_pages(spark):
     df = spark.createDataFrame([(*r, 1, "w") for r in rows], "doc_id long, text string, lang string, n int, word string")
     assert {r.doc_id for r in spam.spam_pages(df, "doc_id", "text", "lang").collect()} == {1000, 1001, 1005}
     assert spam.spam_pages(df.limit(0), "doc_id", "text", "lang").count() == 0
+
+
+def test_spam_pages_of_a_link_farm(spark):
+    """A third of all rows, of one language and length, from one farm: alike pages that are no exception in their class."""
+    dice = random.Random(8)
+    vocabulary = [f"word{i}" for i in range(400)]
+    prose = lambda: " ".join(" ".join(["The", "of", *dice.sample(vocabulary, 8), "and", "the", "in"]) + "." for _ in range(9))
+    farm = lambda: "\n".join(f"cheap {dice.choice(vocabulary)} https://farm.example/{dice.randint(0, 999)}" for _ in range(20))
+    rows = [(i, prose() if i % 3 else farm(), "en") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in spam.spam_pages(df, "doc_id", "text", "lang").collect()} == {i for i in range(0, 300, 3)}
+    assert {r.doc_id for r in spam.spam_ids(df, "doc_id", "text", "lang").collect()} == {i for i in range(0, 300, 3)}
