@@ -90,6 +90,13 @@ def memberships(docs: DataFrame, doc_id: str, text_col: str, source_col: str, to
     return rows.where("n_tokens > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.array_sort(F.collect_set("source")).alias("pattern"), F.max("n_tokens").alias("n_tokens")).drop("digest")
 
 
+def merged_away(docs: DataFrame, doc_id: str, text_col: str, source_col: str, tokens: Column) -> DataFrame:
+    """(key, merged_tokens): by the letters of each source, the tokens of its repeats of a text, which ``merge`` counts once."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), letters(F.col(source_col)).alias("key"), F.sha2(F.col(text_col), 256).alias("digest"), tokens.cast("long").alias("n_tokens"))
+    texts = rows.where("doc_id is not null and key is not null and n_tokens > 0").groupBy("key", "digest").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("once"))
+    return texts.groupBy("key").agg(F.sum(F.col("n") - F.col("once")).alias("merged_tokens"))
+
+
 def mix_report(members: DataFrame, targets: DataFrame, recipe: str = "recipe_id", source: str = "source", share: str = "target_share", repeats: str = "max_repeats", factor: str = "total_factor") -> tuple[list[tuple], list[tuple]]:
     """Rows (recipe, source, wanted, reached, lacking, share wanted, share reached), and the flow (recipe, pattern, source, from, to, tokens).
 

@@ -144,20 +144,26 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(report, mixing.REPORT).where("lacking > 0").select("recipe_id", "source")
 
 
-def _mix(spark: SparkSession, root: str, tokenizer: str = TOKENIZER) -> tuple[DataFrame, list[tuple], list[tuple]]:
+def _mix(spark: SparkSession, root: str, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame, list[tuple], list[tuple]]:
+    scratch = Scratch(spark, "tokens")
     counted = mixing.model_tokens(table(spark, root, "documents"), "doc_id", "text", "source", tokenizer)
-    members = Scratch(spark, "tokens").write(mixing.memberships(counted, "doc_id", "text", "source", F.col("n_tokens"), merge=True), "members")
-    return members, *mixing.mix_report(members, table(spark, root, "mix_targets"))
+    # from here on texts are only told apart
+    counted = scratch.write(counted.withColumn("text", F.sha2("text", 256)), "counted")
+    members = scratch.write(mixing.memberships(counted, "doc_id", "text", "source", F.col("n_tokens"), merge=True), "members")
+    return counted, members, *mixing.mix_report(members, table(spark, root, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, root: str) -> DataFrame:
-    """Tokens wanted and reached by source of every recipe, in tokens of a public tokenizer."""
-    return spark.createDataFrame(_mix(spark, root)[1], mixing.REPORT)
+    """Tokens wanted and reached by source of every recipe, in tokens of a public tokenizer, and those of its repeated texts that count once."""
+    counted, _, report, _ = _mix(spark, root)
+    merged = mixing.merged_away(counted, "doc_id", "text", "source", F.col("n_tokens"))
+    shares = spark.createDataFrame(report, mixing.REPORT).withColumn("key", mixing.letters(F.col("source")))
+    return shares.join(merged, "key", "left").drop("key").withColumn("merged_tokens", F.coalesce("merged_tokens", F.lit(0)))
 
 
 def p9_mix(spark: SparkSession, root: str) -> DataFrame:
     """The documents of every recipe with their copies."""
-    members, _, flows = _mix(spark, root)
+    _, members, _, flows = _mix(spark, root)
     return mixing.select_documents(members, spark.createDataFrame(flows, mixing.FLOWS))
 
 

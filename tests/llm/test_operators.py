@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from facetmill.llm import collapse, cross_split, group_split, heavy, leaks, mixing, neighbours, packing, quotas, spam
 from facetmill.llm.chunks import cut_chunks
@@ -369,3 +370,10 @@ def test_spam_pages_of_a_link_farm(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r.doc_id for r in spam.spam_pages(df, "doc_id", "text", "lang").collect()} == {i for i in range(0, 300, 3)}
     assert {r.doc_id for r in spam.spam_ids(df, "doc_id", "text", "lang").collect()} == {i for i in range(0, 300, 3)}
+
+
+def test_merged_tokens(spark):
+    rows = [(i, "same text again", "Web") for i in range(5)] + [(9, "same text again", "books"), (10, "other", " web"), (11, None, "web"), (None, "other", "web"), (12, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.merged_away(df, "doc_id", "text", "source", mixing.blank_tokens(F.col("text")))
+    assert {r.key: r.merged_tokens for r in got.collect()} == {"web": 12, "books": 0}
