@@ -1,16 +1,19 @@
 """Problem 4: records of the evaluation splits that also stand, exactly or almost, in the training split.
 
-Method: an exact search for pairs whose runs of six characters are alike to LEAST_JACCARD. Two sets of n
-and m runs that reach a Jaccard index j share at least o = j / (1 + j) * (n + m) of them. All records rank
-their runs alike, rare ones first, so such a pair shares a run among the first n - o + 1 of the one and
-m - o + 1 of the other. The evaluation records are the query set: their first runs are indexed in blocks
-of BLOCK records, and the training records are scanned once per block, where they lie. What an index
-hit leaves is held against the parity bits of both records, which never differ in more places than the
-sets do. Both bounds follow from the limit, so no pair is lost; an exact comparison decides on the rest.
-Overlap fractions of a link are those of digests of two neighbouring content-defined chunks.
+Method: content-defined chunks. Plain spellings are cut by a rolling hash, the digests of their chunks are joined
+across splits, and what a pair shares of its chunks' lengths are the overlap fractions of its two records. Only pairs that
+may share LEAST_SHARE of the longer record's length are looked for, so each record posts just its rarest chunks, up to that part
+of its length which can't hold the rest: a pair within the bound always meets at one of them. A posting carries what
+the record still has behind that chunk, its number of runs and 128 parity bits of its runs. A join keeps those
+that can reach both the share and the Jaccard limit; the parity bound follows from the limit, so it loses
+nothing. Records of few runs have few chunks: up to FEW_RUNS runs they post their rarest runs as well, by the
+same rule with the limit itself as the share, which misses no pair. The pairs left are compared exactly.
+
+Above FEW_RUNS runs the share is measured, not proven: the least of all pairs is in the README. ``exact_candidates``
+finds candidates without it, from the rarest runs of every record, at a cost that grows with train times evaluation rows.
 
 Copies: rows of the same record are one class from the first Arrow batch on. Classes are compared,
-and the result is expanded to rows at the end.
+and the result is expanded to rows at the end. Chunks that many records hold are salted.
 """
 
 from __future__ import annotations
@@ -31,16 +34,25 @@ from facetmill.sources.scratch import Scratch
 
 RUN = 6
 LEAST_JACCARD = 0.7
-#: Evaluation records that are indexed at a time, and training records that are held against them at a time.
+#: Part of the longer record's chunk length that a near pair shares at least, and number of runs up to which runs are posted too.
+LEAST_SHARE = 0.4
+FEW_RUNS = 72
+#: Records whose chunks are cut at a time, and records of train that meet one salted copy of an evaluation posting.
+CUT = 5_000
+SALTED = 20_000
+#: Classes that are sent to every executor at most; more are joined by a shuffle.
+SENT = 250_000
+#: Evaluation records that are indexed at a time by the exact search, and training records that are held against them at a time.
 BLOCK = 65_536
 PROBED = 500
-#: Hashed counters that rank runs, and parity bits of a record.
+#: Hashed counters that rank chunks or runs, and parity bits of a record.
 COUNTERS = 1 << 18
 PARITY = 256
+POSTED_PARITY = 128
 
 
 class Overlaps(NamedTuple):
-    """links: class pairs with jaccard and both overlap fractions. members: class, id, is_train, split."""
+    """links: class pairs with jaccard and both overlap fractions. members: ka, kb, train_ids, eval_ids of each batch's entries."""
 
     links: DataFrame
     members: DataFrame
@@ -81,19 +93,6 @@ def classes(df: DataFrame, id_col: str, text_col: str, split_col: str, train: st
     return picked.where("id is not null and t is not null").mapInArrow(run, "ka bigint, kb bigint, plain string, train_ids array<bigint>, eval_ids array<bigint>")
 
 
-def chunk_pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, length, digest) of every two neighbouring chunks, in order; a text of one chunk has that one."""
-    text, length, digest = cut_chunks(texts)
-    if not len(text):
-        return text, length, digest
-    inner = text[1:] == text[:-1]
-    alone = np.r_[True, ~inner] & np.r_[~inner, True]
-    pair = np.r_[inner, False] | alone
-    second, longer = np.r_[digest[1:], digest[:1]], np.r_[length[1:], length[:1]]
-    mixed = np.where(alone, digest, (digest * np.uint64(0x9E3779B97F4A7C15)) ^ second)
-    return text[pair], np.where(alone, length, length + longer)[pair], mixed[pair]
-
-
 def coded_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(text, run) of all runs of plain spellings, seven bits a character; a shorter text is its own only run."""
     size = np.array([len(t) for t in texts], np.int64)
@@ -207,8 +206,8 @@ def probe(index: RunIndex, texts: list[str], ranks: np.ndarray, least: float) ->
     return pairs // len(index.size), pairs % len(index.size)
 
 
-def candidates(found: DataFrame, scratch: Scratch, least: float, block: int = BLOCK) -> DataFrame:
-    """(ta, ea): classes of train and of other splits that may reach ``least``, one block of the others at a time."""
+def exact_candidates(found: DataFrame, scratch: Scratch, least: float, block: int = BLOCK) -> DataFrame:
+    """(ta, ea): classes of train and of other splits that may reach ``least``, one block of the others at a time, by their first runs alone."""
     spark = found.sparkSession
     ranks = spark.sparkContext.broadcast(run_ranks(found))
     wanted = scratch.write(found.where(F.size("eval_ids") > 0).select("ka", "kb", "plain").dropDuplicates(["ka", "kb"]), "wanted")
@@ -235,6 +234,129 @@ def candidates(found: DataFrame, scratch: Scratch, least: float, block: int = BL
     return scratch.write(out.where("ta <> ea").distinct(), "candidates")
 
 
+class Postings(NamedTuple):
+    """What each text posts: text, digest, what is left of the weight from there on, and the part of it a partner must share.
+
+    runs, parity: of each text the number of distinct runs, and parity bits.
+    """
+
+    runs: np.ndarray
+    parity: np.ndarray
+    text: np.ndarray
+    digest: np.ndarray
+    room: np.ndarray
+    need: np.ndarray
+
+
+def _spot(digest: np.ndarray) -> np.ndarray:
+    return (digest.view(np.uint64) >> np.uint64(20)).astype(np.int64) % COUNTERS
+
+
+def weighed(texts: list[str], few: int = FEW_RUNS) -> tuple[np.ndarray, np.ndarray, tuple, tuple]:
+    """Distinct runs and parity bits of each text; then (text, weight, digest) of its distinct chunks, and of the runs of short texts."""
+    text, run = coded_runs(texts)
+    both = np.sort((text << (7 * RUN)) | run)
+    both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
+    text, run = both >> (7 * RUN), both & ((1 << (7 * RUN)) - 1)
+    runs = np.bincount(text, minlength=len(texts))
+    odd = np.bincount(text * POSTED_PARITY + _hashed(run, POSTED_PARITY), minlength=len(texts) * POSTED_PARITY) & 1
+    parity = np.packbits(odd.astype(np.uint8).reshape(-1, POSTED_PARITY), axis=1).view(np.int64)
+    short = runs[text] <= few
+    at, run = text[short], run[short].astype(np.uint64)
+    coded = (run + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    coded = ((coded ^ (coded >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+    owner, length, digest = cut_chunks([t.encode() for t in texts])
+    order = np.lexsort((digest, owner))
+    owner, length, digest = owner[order], length[order], digest[order].view(np.int64)
+    fresh = np.r_[True, (owner[1:] != owner[:-1]) | (digest[1:] != digest[:-1])][: len(owner)]
+    return runs, parity, (owner[fresh], length[fresh], digest[fresh]), (at, np.ones(len(at), np.int64), coded)
+
+
+def posted(texts: list[str], cost: np.ndarray, least: float, share: float = LEAST_SHARE, few: int = FEW_RUNS) -> Postings:
+    """The cheapest chunks of each text up to the weight that no partner needs, and the cheapest runs of short texts; cost 0 has no partner."""
+    runs, parity, chunks, coded = weighed(texts, few)
+    out = []
+    for (text, weight, digest), part in ((chunks, share), (coded, least)):
+        price = cost[_spot(digest)]
+        order = np.lexsort((digest, price, text))
+        text, weight, digest, price = text[order], weight[order], digest[order], price[order]
+        whole = np.bincount(text, weight, minlength=len(texts)).astype(np.int64)
+        ends = np.cumsum(weight)
+        own = np.bincount(text, minlength=len(texts))
+        first = np.repeat((np.r_[0, ends])[np.cumsum(own) - own], own)
+        room = whole[text] - (ends - weight - first)
+        need = np.ceil(whole * part - 1e-9).astype(np.int64)[text]
+        used = (room >= need) & (price > 0)
+        out.append((text[used], digest[used], room[used], need[used]))
+    return Postings(runs, parity, *(np.concatenate(c) for c in zip(*out)))
+
+
+def posting_costs(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(train, evaluation) classes behind each of COUNTERS counters of chunks and runs."""
+
+    def count(batches):
+        total = np.zeros((2, COUNTERS), np.int64)
+        for b in batches:
+            for i in range(0, b.num_rows, CUT):
+                texts, train, other = (b.column(c).slice(i, CUT) for c in range(3))
+                _, _, *families = weighed(texts.to_pylist())
+                for text, _, digest in families:
+                    for side, held in enumerate((train, other)):
+                        own = np.asarray(held.to_numpy(zero_copy_only=False))[text]
+                        total[side] += np.bincount(_spot(digest[own]), minlength=COUNTERS)
+        at = np.flatnonzero(total.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], names=["at", "t", "e"])
+
+    sides = found.select("plain", (F.size("train_ids") > 0).alias("t"), (F.size("eval_ids") > 0).alias("e"))
+    rows = sides.mapInArrow(count, "at bigint, t bigint, e bigint").groupBy("at").agg(F.sum("t").alias("t"), F.sum("e").alias("e")).toPandas()
+    out = np.zeros((2, COUNTERS), np.int64)
+    out[:, rows["at"].to_numpy(np.int64)] = rows["t"].to_numpy(np.int64), rows["e"].to_numpy(np.int64)
+    return out[0], out[1]
+
+
+def candidates(found: DataFrame, scratch: Scratch, least: float, share: float = LEAST_SHARE) -> DataFrame:
+    """(ta, ea): classes of train and of other splits that share posted chunks and may reach ``share`` and ``least``.
+
+    COUNTERS pairs of counts are all that the driver sees. A posting that many classes of train hold is spread over salts:
+    each of its evaluation postings is copied to all of them.
+    """
+    in_train, in_other = posting_costs(found)
+    held = found.sparkSession.sparkContext.broadcast((in_train, in_other))
+    names = ["digest", "salt", "key", "room", "need", "runs", "p0", "p1"]
+
+    def side(train: bool) -> DataFrame:
+        def run(batches):
+            in_train, in_other = held.value
+            cost = in_train * in_other
+            salts = np.maximum(1, -(-in_train // SALTED))
+            dice = np.random.default_rng(0)
+            for b in batches:
+                keys = b.column(0).to_numpy()
+                for i in range(0, b.num_rows, CUT):
+                    p = posted(b.column(1).slice(i, CUT).to_pylist(), cost, least, share)
+                    many = salts[_spot(p.digest)]
+                    if train:
+                        at, salt = np.arange(len(many)), dice.integers(0, many)
+                    else:
+                        at = np.repeat(np.arange(len(many)), many)
+                        salt = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+                    text = p.text[at]
+                    columns = [p.digest[at], salt.astype(np.int32), keys[i + text], p.room[at].astype(np.int32), p.need[at].astype(np.int32), p.runs[text].astype(np.int32), p.parity[text, 0], p.parity[text, 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+        rows = found.where(F.size("train_ids" if train else "eval_ids") > 0).select("ka", "plain")
+        return rows.mapInArrow(run, "digest bigint, salt int, key bigint, room int, need int, runs int, p0 bigint, p1 bigint")
+
+    t, e = side(True).alias("t"), side(False).alias("e")
+    total = F.col("t.runs") + F.col("e.runs")
+    differ = F.bit_count(F.col("t.p0").bitwiseXOR(F.col("e.p0"))) + F.bit_count(F.col("t.p1").bitwiseXOR(F.col("e.p1")))
+    may = (
+        (F.col("t.digest") == F.col("e.digest")) & (F.col("t.salt") == F.col("e.salt")) & (F.col("t.key") != F.col("e.key"))
+        & (F.least("t.room", "e.room") >= F.greatest("t.need", "e.need")) & (differ <= total * (1 - 2 * least / (1 + least)) + 1e-6)
+    )
+    return scratch.write(t.join(e, may).select(F.col("t.key").alias("ta"), F.col("e.key").alias("ea")).distinct(), "candidates")
+
+
 def verify(pairs: DataFrame, least: float) -> DataFrame:
     """Keeps the pairs (.., plain_t, plain_e) of which at least ``least`` of all distinct runs are shared; adds jaccard and overlaps."""
 
@@ -245,7 +367,7 @@ def verify(pairs: DataFrame, least: float) -> DataFrame:
                 x, y = runs_of(p), runs_of(q)
                 both = len(x & y)
                 if p != q and both >= least * (len(x) + len(y) - both):
-                    text, length, digest = chunk_pairs([p.encode(), q.encode()])
+                    text, length, digest = cut_chunks([p.encode(), q.encode()])
                     a, c = (dict(zip(digest[text == s].tolist(), length[text == s].tolist())) for s in (0, 1))
                     shared = sum(n for d, n in a.items() if d in c)
                     kept.append((i, both / (len(x) + len(y) - both), shared / sum(a.values()), shared / sum(c.values())))
@@ -256,48 +378,68 @@ def verify(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.mapInArrow(run, "ta bigint, tb bigint, ea bigint, eb bigint, jaccard double, overlap_t double, overlap_e double")
 
 
-def overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str = "train", least: float = LEAST_JACCARD) -> Overlaps:
+def overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str = "train", least: float = LEAST_JACCARD, share: float = LEAST_SHARE, exact: bool = False) -> Overlaps:
     """Links between record classes with rows in ``train`` and classes with rows in another split.
 
     Rows with a null id, a null split, or a null, blank or mark-only text take no part. A class with rows on both
     sides links to itself at jaccard 1. Records shorter than a run have one run, themselves. An
-    empty table gives no link; other columns are never touched.
+    empty table gives no link; other columns are never touched. ``exact`` looks for candidates without ``share``.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "overlap")
     found = scratch.write(classes(df, id_col, text_col, split_col, train), "classes")
-    near = candidates(found, scratch, least)
-    scratch.tidy()
+    near = exact_candidates(found, scratch, least) if exact else candidates(found, scratch, least, share)
+    n = near.count()
 
     def side(name: str) -> DataFrame:
         rows = found.where(F.size(f"{name}_ids") > 0)
         ids = near.select(F.col(f"{name[0]}a").alias("ka")).distinct()
-        return rows.join(ids, "ka", "left_semi").select(F.col("ka").alias(f"{name[0]}a"), F.col("kb").alias(f"{name[0]}b"), F.col("plain").alias(f"plain_{name[0]}")).dropDuplicates([f"{name[0]}a", f"{name[0]}b"])
+        rows = rows.join(F.broadcast(ids) if n <= SENT else ids, "ka", "left_semi")
+        return rows.select(F.col("ka").alias(f"{name[0]}a"), F.col("kb").alias(f"{name[0]}b"), F.col("plain").alias(f"plain_{name[0]}")).dropDuplicates([f"{name[0]}a", f"{name[0]}b"])
 
     pairs = near.join(side("eval"), "ea").join(side("train"), "ta").select("ta", "tb", "ea", "eb", "plain_t", "plain_e")
     links = scratch.write(verify(pairs, least), "links")
-    members = found.select("ka", "kb", F.explode("train_ids").alias("id"), F.lit(True).alias("is_train")).unionAll(found.select("ka", "kb", F.explode("eval_ids").alias("id"), F.lit(False).alias("is_train")))
+    members = found.select("ka", "kb", "train_ids", "eval_ids")
     return Overlaps(links, members)
 
 
+def _rows(found: Overlaps, side: str) -> DataFrame:
+    """(ka, kb, ids): the entries of classes with rows on that side."""
+    return found.members.where(F.size(f"{side}_ids") > 0).select("ka", "kb", F.col(f"{side}_ids").alias(f"{side}_ids"))
+
+
 def row_pairs(found: Overlaps) -> DataFrame:
     """(row_id_a, row_id_b, jaccard, train_id, eval_id) with row_id_a < row_id_b for each train row and each other row that link."""
-    t = found.members.where("is_train").select("ka", "kb", F.col("id").alias("train_id"))
-    e = found.members.where("not is_train").select("ka", "kb", F.col("id").alias("eval_id"))
-    same = t.join(e, ["ka", "kb"]).select("train_id", "eval_id", F.lit(1.0).alias("jaccard"))
+    t, e = _rows(found, "train"), _rows(found, "eval")
+    same = t.join(e, ["ka", "kb"]).select("train_ids", "eval_ids", F.lit(1.0).alias("jaccard"))
     of_t = t.withColumnsRenamed({"ka": "ta", "kb": "tb"})
     of_e = e.withColumnsRenamed({"ka": "ea", "kb": "eb"})
-    near = found.links.join(of_e, ["ea", "eb"]).join(of_t, ["ta", "tb"]).select("train_id", "eval_id", "jaccard")
-    both = same.unionAll(near).where("train_id <> eval_id")
+    near = found.links.join(of_e, ["ea", "eb"]).join(of_t, ["ta", "tb"]).select("train_ids", "eval_ids", "jaccard")
+    both = same.unionAll(near).withColumn("train_id", F.explode("train_ids")).withColumn("eval_id", F.explode("eval_ids")).where("train_id <> eval_id")
     return both.select(F.least("train_id", "eval_id").alias("row_id_a"), F.greatest("train_id", "eval_id").alias("row_id_b"), "jaccard", "train_id", "eval_id").dropDuplicates(["train_id", "eval_id"])
 
 
+def linked_classes(found: Overlaps) -> DataFrame:
+    """(id, class_id, is_train, n_links): each row of a class with links, its class' smallest row, and how many classes of the other side it links to.
+
+    A class with rows on both sides counts itself. Copies are not paired.
+    """
+    entries = found.members.select("ka", "kb", F.array_min(F.concat("train_ids", "eval_ids")).alias("low"), (F.size("train_ids") > 0).alias("t"), (F.size("eval_ids") > 0).alias("e"))
+    classes_ = entries.groupBy("ka", "kb").agg(F.min("low").alias("class_id"), F.max("t").alias("t"), F.max("e").alias("e"))
+    ends = found.links.select(F.col("ta").alias("ka"), F.col("tb").alias("kb"), F.lit(True).alias("is_train")).unionAll(found.links.select(F.col("ea").alias("ka"), F.col("eb").alias("kb"), F.lit(False).alias("is_train")))
+    own = classes_.where("t and e").select("ka", "kb", F.explode(F.array(F.lit(True), F.lit(False))).alias("is_train"))
+    degree = ends.unionAll(own).groupBy("ka", "kb", "is_train").agg(F.count("*").alias("n_links"))
+    rows = found.members.select("ka", "kb", F.explode(F.array(F.struct(F.lit(True).alias("is_train"), F.col("train_ids").alias("ids")), F.struct(F.lit(False).alias("is_train"), F.col("eval_ids").alias("ids")))).alias("x")).where(F.size("x.ids") > 0)
+    linked = rows.select("ka", "kb", "x.is_train", "x.ids").join(degree, ["ka", "kb", "is_train"]).join(classes_.select("ka", "kb", "class_id"), ["ka", "kb"])
+    return linked.select(F.explode("ids").alias("id"), "class_id", "is_train", "n_links").distinct()
+
+
 def report(df: DataFrame, found: Overlaps, id_col: str, split_col: str, source_col: str) -> DataFrame:
     """(split, source, n_rows, n_exact, n_near): evaluation rows, those with the same record in train, and those with only a near one."""
-    exact = found.members.where("is_train").select("ka", "kb").distinct().withColumn("exact", F.lit(True))
+    exact = _rows(found, "train").select("ka", "kb").distinct().withColumn("exact", F.lit(True))
     near = found.links.select(F.col("ea").alias("ka"), F.col("eb").alias("kb")).distinct().withColumn("near", F.lit(True))
-    e = found.members.where("not is_train").select("ka", "kb", "id").join(exact, ["ka", "kb"], "left").join(near, ["ka", "kb"], "left")
-    hit = e.where("exact or near").groupBy("id").agg(F.max("exact").alias("exact"), F.max("near").alias("near"))
+    e = _rows(found, "eval").join(exact, ["ka", "kb"], "left").join(near, ["ka", "kb"], "left")
+    hit = e.where("exact or near").withColumn("id", F.explode("eval_ids")).groupBy("id").agg(F.max("exact").alias("exact"), F.max("near").alias("near"))
     rows = df.select(F.col(id_col).cast("long").alias("id"), split_name(F.col(split_col)).alias("split"), F.lower(F.trim(F.col(source_col))).alias("source")).where("split <> 'train'")
     return rows.join(hit, "id", "left").groupBy("split", "source").agg(
         F.count("*").alias("n_rows"), F.count_if(F.coalesce("exact", F.lit(False))).alias("n_exact"), F.count_if(F.coalesce("near", F.lit(False)) & ~F.coalesce("exact", F.lit(False))).alias("n_near")

@@ -86,6 +86,12 @@ def p4_report(spark: SparkSession, root: str) -> DataFrame:
     return cross_split.report(rows, cross_split.overlaps(rows, "row_id", "molecule_smiles", "split"), "row_id", "split", "source")
 
 
+def p4_classes(spark: SparkSession, root: str) -> DataFrame:
+    """Every row whose record stands in both train and another split, or nearly, with its class and the number of classes it links to."""
+    found = cross_split.overlaps(_molecules(spark, root), "row_id", "molecule_smiles", "split")
+    return cross_split.linked_classes(found).withColumnRenamed("id", "row_id")
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Every row of each tied group that lies in more than one split."""
     return group_split.broken_ties(_molecules(spark, root), "row_id", "split", ["molecule_smiles"], ["scaffold", "lot_code"])
@@ -188,7 +194,7 @@ _SQUEEZE = r"""regexp_replace(molecule_smiles, '[\s\x{85}\x{a0}\x{1680}\x{180e}\
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_sample, p2_found, p2_records, p3_found, p3_containers, p4_found, p4_report, p5_found, p5_assign, p6_found, p6_top, p7_found, p7_neighbours, p8_found, p8_leaks, p9_found, p9_shares, p9_mix, p10_found, p10_pages)
+    named = (p1_found, p1_sample, p2_found, p2_records, p3_found, p3_containers, p4_found, p4_report, p4_classes, p5_found, p5_assign, p6_found, p6_top, p7_found, p7_neighbours, p8_found, p8_leaks, p9_found, p9_shares, p9_mix, p10_found, p10_pages)
     return {f.__name__: f for f in named}
 
 
