@@ -6,10 +6,11 @@ may share LEAST_SHARE of the longer record's length are looked for, so each reco
 of its length which can't hold the rest: a pair within the bound always meets at one of them. A posting carries what
 the record still has behind that chunk, its number of runs and 128 parity bits of its runs. A join keeps those
 that can reach both the share and the Jaccard limit; the parity bound follows from the limit, so it loses
-nothing. Records of few runs have few chunks: up to FEW_RUNS runs they post their rarest runs as well, by the
-same rule with the limit itself as the share, which misses no pair. The pairs left are compared exactly.
+nothing. Records of few runs have few chunks, of which an edit breaks a larger part: up to FEW_RUNS runs they post all their chunks, and
+up to FEWEST_RUNS their rarest runs as well, by the same rule with the limit itself as the share, which misses no pair.
+The pairs left are compared exactly.
 
-Above FEW_RUNS runs the share is measured, not proven: the least of all pairs is in the README. ``exact_candidates``
+Above FEWEST_RUNS runs the share is measured, not proven: the least of all pairs is in the README. ``exact_candidates``
 finds candidates without it, from the rarest runs of every record, at a cost that grows with train times evaluation rows.
 
 Copies: rows of the same record are one class from the first Arrow batch on. Classes are compared,
@@ -19,6 +20,7 @@ and the result is expanded to rows at the end. Chunks that many records hold are
 from __future__ import annotations
 
 import hashlib
+import zlib
 from typing import NamedTuple
 
 import numpy as np
@@ -34,9 +36,12 @@ from facetmill.sources.scratch import Scratch
 
 RUN = 6
 LEAST_JACCARD = 0.7
-#: Part of the longer record's chunk length that a near pair shares at least, and number of runs up to which runs are posted too.
-LEAST_SHARE = 0.4
-FEW_RUNS = 72
+#: Part of the longer record's chunk length that a near pair shares at least, and numbers of runs up to which all chunks, and runs, are posted.
+LEAST_SHARE = 0.44
+FEW_RUNS, FEWEST_RUNS = 72, 32
+#: Bits that tell which chunks occur in train and which elsewhere, and parts in which they and the counters are merged.
+SEEN = 1 << 26
+SEGMENTS = 16
 #: Records whose chunks are cut at a time, and records of train that meet one salted copy of an evaluation posting.
 CUT = 5_000
 SALTED = 20_000
@@ -97,9 +102,8 @@ def coded_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(text, run) of all runs of plain spellings, seven bits a character; a shorter text is its own only run."""
     size = np.array([len(t) for t in texts], np.int64)
     flat = np.frombuffer("".join(t.ljust(RUN, "\0") for t in texts).encode("ascii"), np.uint8).astype(np.int64)
-    code = np.zeros(max(0, len(flat) - RUN + 1), np.int64)
-    for i in range(RUN):
-        code = (code << 7) | flat[i : i + len(code)]
+    two = (flat[:-1] << 7) | flat[1:]
+    code = (((two[:-4] << 14) | two[2:-2]) << 14) | two[4:]
     many = np.maximum(size - RUN + 1, 1)
     text = np.repeat(np.arange(len(texts)), many)
     held = np.maximum(size, RUN)
@@ -235,7 +239,7 @@ def exact_candidates(found: DataFrame, scratch: Scratch, least: float, block: in
 
 
 class Postings(NamedTuple):
-    """What each text posts: text, digest, what is left of the weight from there on, and the part of it a partner must share.
+    """What each text posts: text, digest, what is left of the weight from there on, and the weight a partner must share.
 
     runs, parity: of each text the number of distinct runs, and parity bits.
     """
@@ -248,36 +252,60 @@ class Postings(NamedTuple):
     need: np.ndarray
 
 
-def _spot(digest: np.ndarray) -> np.ndarray:
-    return (digest.view(np.uint64) >> np.uint64(20)).astype(np.int64) % COUNTERS
+class Costs(NamedTuple):
+    """What is known of all chunks: how many classes of train and of other splits fall into each counter, and which digests either has."""
 
+    train: np.ndarray
+    other: np.ndarray
+    in_train: np.ndarray
+    in_other: np.ndarray
 
-def weighed(texts: list[str], few: int = FEW_RUNS) -> tuple[np.ndarray, np.ndarray, tuple, tuple]:
-    """Distinct runs and parity bits of each text; then (text, weight, digest) of its distinct chunks, and of the runs of short texts."""
-    text, run = coded_runs(texts)
-    both = np.sort((text << (7 * RUN)) | run)
-    both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
-    text, run = both >> (7 * RUN), both & ((1 << (7 * RUN)) - 1)
-    runs = np.bincount(text, minlength=len(texts))
-    odd = np.bincount(text * POSTED_PARITY + _hashed(run, POSTED_PARITY), minlength=len(texts) * POSTED_PARITY) & 1
-    parity = np.packbits(odd.astype(np.uint8).reshape(-1, POSTED_PARITY), axis=1).view(np.int64)
-    short = runs[text] <= few
-    at, run = text[short], run[short].astype(np.uint64)
-    coded = (run + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    coded = ((coded ^ (coded >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+    def price(self, digest: np.ndarray) -> np.ndarray:
+        """Pairs that a chunk may make; 0 where one side lacks it."""
+        at = _spot(digest, SEEN)
+        both = (self.in_train[at >> 3] & self.in_other[at >> 3] & (np.uint8(1) << (at & 7).astype(np.uint8))) != 0
+        at = _spot(digest, COUNTERS)
+        return np.where(both, np.maximum(1, self.train[at] * self.other[at]), 0)
+
+
+def _spot(digest: np.ndarray, parts: int) -> np.ndarray:
+    return (digest.view(np.uint64) >> np.uint64(20)).astype(np.int64) % parts
+
+
+def weighed_chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, weight, digest) of the distinct chunks of each text."""
     owner, length, digest = cut_chunks([t.encode() for t in texts])
     order = np.lexsort((digest, owner))
     owner, length, digest = owner[order], length[order], digest[order].view(np.int64)
     fresh = np.r_[True, (owner[1:] != owner[:-1]) | (digest[1:] != digest[:-1])][: len(owner)]
-    return runs, parity, (owner[fresh], length[fresh], digest[fresh]), (at, np.ones(len(at), np.int64), coded)
+    return owner[fresh], length[fresh], digest[fresh]
+
 
+def distinct_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, run) of the distinct runs of each text, in order."""
+    text, run = coded_runs(texts)
+    both = np.sort((text << (7 * RUN)) | run)
+    both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
+    return both >> (7 * RUN), both & ((1 << (7 * RUN)) - 1)
 
-def posted(texts: list[str], cost: np.ndarray, least: float, share: float = LEAST_SHARE, few: int = FEW_RUNS) -> Postings:
-    """The cheapest chunks of each text up to the weight that no partner needs, and the cheapest runs of short texts; cost 0 has no partner."""
-    runs, parity, chunks, coded = weighed(texts, few)
+
+def weighed_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, weight 1, digest) of the distinct runs of each text that has at most FEWEST_RUNS."""
+    few = [i for i, t in enumerate(texts) if len(t) < FEWEST_RUNS + RUN]
+    text, run = distinct_runs([texts[i] for i in few])
+    coded = (run.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return np.array(few, np.int64)[text], np.ones(len(text), np.int64), ((coded ^ (coded >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
+def posted(texts: list[str], costs: Costs, least: float, share: float = LEAST_SHARE) -> Postings:
+    """The cheapest chunks of each text up to the weight that no partner needs, and the cheapest runs of the shortest texts, as far as both sides have them."""
+    text, run = distinct_runs(texts)
+    runs = np.bincount(text, minlength=len(texts))
+    odd = np.bincount(text * POSTED_PARITY + _hashed(run, POSTED_PARITY), minlength=len(texts) * POSTED_PARITY) & 1
+    parity = np.packbits(odd.astype(np.uint8).reshape(-1, POSTED_PARITY), axis=1).view(np.int64)
     out = []
-    for (text, weight, digest), part in ((chunks, share), (coded, least)):
-        price = cost[_spot(digest)]
+    for (text, weight, digest), part in ((weighed_chunks(texts), np.where(runs <= FEW_RUNS, 0.0, share)), (weighed_runs(texts), np.full(len(texts), least))):
+        price = costs.price(digest)
         order = np.lexsort((digest, price, text))
         text, weight, digest, price = text[order], weight[order], digest[order], price[order]
         whole = np.bincount(text, weight, minlength=len(texts)).astype(np.int64)
@@ -291,89 +319,132 @@ def posted(texts: list[str], cost: np.ndarray, least: float, share: float = LEAS
     return Postings(runs, parity, *(np.concatenate(c) for c in zip(*out)))
 
 
-def posting_costs(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(train, evaluation) classes behind each of COUNTERS counters of chunks and runs."""
+def posting_costs(found: DataFrame) -> Costs:
+    """The costs of all chunks and runs. Each task packs its counters and bits into SEGMENTS rows; these are added up part by part, as they stream in."""
+    kinds = ((np.uint32, COUNTERS), (np.uint32, COUNTERS), (np.uint8, SEEN // 8), (np.uint8, SEEN // 8))
+
+    def parts(total: list[np.ndarray]):
+        for k in range(SEGMENTS):
+            yield k, [zlib.compress(t.reshape(SEGMENTS, -1)[k].tobytes(), 1) for t in total]
+
+    def row(k: int, packed: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([p], pa.binary()) for p in packed)], names=["segment", "a", "b", "c", "d"])
 
     def count(batches):
-        total = np.zeros((2, COUNTERS), np.int64)
+        total = [np.zeros(n, kind) for kind, n in kinds]
         for b in batches:
             for i in range(0, b.num_rows, CUT):
-                texts, train, other = (b.column(c).slice(i, CUT) for c in range(3))
-                _, _, *families = weighed(texts.to_pylist())
-                for text, _, digest in families:
-                    for side, held in enumerate((train, other)):
-                        own = np.asarray(held.to_numpy(zero_copy_only=False))[text]
-                        total[side] += np.bincount(_spot(digest[own]), minlength=COUNTERS)
-        at = np.flatnonzero(total.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], names=["at", "t", "e"])
-
+                texts, *sides = (b.column(c).slice(i, CUT) for c in range(3))
+                texts = texts.to_pylist()
+                for text, _, digest in (weighed_chunks(texts), weighed_runs(texts)):
+                    for k, side in enumerate(sides):
+                        own = digest[side.to_numpy(zero_copy_only=False)[text]]
+                        total[k] += np.bincount(_spot(own, COUNTERS), minlength=COUNTERS).astype(np.uint32)
+                        at = _spot(own, SEEN)
+                        np.bitwise_or.at(total[2 + k], at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        for k, packed in parts(total):
+            yield row(k, packed)
+
+    def merge(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for k, *packed in zip(*(c.to_pylist() for c in b.columns)):
+                own = [np.frombuffer(zlib.decompress(p), kind) for p, (kind, _) in zip(packed, kinds)]
+                if k not in held:
+                    held[k] = [x.copy() for x in own]
+                else:
+                    for n, (x, y) in enumerate(zip(held[k], own)):
+                        x += y if n < 2 else 0
+                        x |= y if n >= 2 else 0
+        for k, own in held.items():
+            yield row(k, [zlib.compress(x.tobytes(), 1) for x in own])
+
+    schema = "segment int, a binary, b binary, c binary, d binary"
     sides = found.select("plain", (F.size("train_ids") > 0).alias("t"), (F.size("eval_ids") > 0).alias("e"))
-    rows = sides.mapInArrow(count, "at bigint, t bigint, e bigint").groupBy("at").agg(F.sum("t").alias("t"), F.sum("e").alias("e")).toPandas()
-    out = np.zeros((2, COUNTERS), np.int64)
-    out[:, rows["at"].to_numpy(np.int64)] = rows["t"].to_numpy(np.int64), rows["e"].to_numpy(np.int64)
-    return out[0], out[1]
+    merged = sides.mapInArrow(count, schema).repartition(SEGMENTS, "segment").mapInArrow(merge, schema).collect()
+    out = [np.zeros(n, kind) for kind, n in kinds]
+    for r in merged:
+        for x, p, (kind, _) in zip(out, r[1:], kinds):
+            x.reshape(SEGMENTS, -1)[r[0]] = np.frombuffer(zlib.decompress(p), kind)
+    return Costs(out[0].astype(np.int64), out[1].astype(np.int64), out[2], out[3])
 
 
 def candidates(found: DataFrame, scratch: Scratch, least: float, share: float = LEAST_SHARE) -> DataFrame:
     """(ta, ea): classes of train and of other splits that share posted chunks and may reach ``share`` and ``least``.
 
-    COUNTERS pairs of counts are all that the driver sees. A posting that many classes of train hold is spread over salts:
+    All that the driver sees are counters and bits of fixed number. A posting that many classes of train hold is spread over salts:
     each of its evaluation postings is copied to all of them.
     """
-    in_train, in_other = posting_costs(found)
-    held = found.sparkSession.sparkContext.broadcast((in_train, in_other))
-    names = ["digest", "salt", "key", "room", "need", "runs", "p0", "p1"]
+    held = found.sparkSession.sparkContext.broadcast(posting_costs(found))
+    names = ["digest", "salt", "key", "p0", "p1", "sizes"]
 
     def side(train: bool) -> DataFrame:
         def run(batches):
-            in_train, in_other = held.value
-            cost = in_train * in_other
-            salts = np.maximum(1, -(-in_train // SALTED))
+            costs = held.value
+            salts = np.maximum(1, -(-costs.train // SALTED))
             dice = np.random.default_rng(0)
             for b in batches:
                 keys = b.column(0).to_numpy()
                 for i in range(0, b.num_rows, CUT):
-                    p = posted(b.column(1).slice(i, CUT).to_pylist(), cost, least, share)
-                    many = salts[_spot(p.digest)]
+                    p = posted(b.column(1).slice(i, CUT).to_pylist(), costs, least, share)
+                    many = salts[_spot(p.digest, COUNTERS)]
                     if train:
                         at, salt = np.arange(len(many)), dice.integers(0, many)
                     else:
                         at = np.repeat(np.arange(len(many)), many)
                         salt = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-                    text = p.text[at]
-                    columns = [p.digest[at], salt.astype(np.int32), keys[i + text], p.room[at].astype(np.int32), p.need[at].astype(np.int32), p.runs[text].astype(np.int32), p.parity[text, 0], p.parity[text, 1]]
+                    text, most = p.text[at], (1 << 21) - 1
+                    # a size above 21 bits counts as that: the bounds only get looser
+                    sizes = np.minimum(p.room[at], most) << 42 | np.minimum(p.need[at], most) << 21 | np.minimum(p.runs[text], most)
+                    columns = [p.digest[at], salt.astype(np.int32), keys[i + text], p.parity[text, 0], p.parity[text, 1], sizes]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
         rows = found.where(F.size("train_ids" if train else "eval_ids") > 0).select("ka", "plain")
-        return rows.mapInArrow(run, "digest bigint, salt int, key bigint, room int, need int, runs int, p0 bigint, p1 bigint")
+        return rows.mapInArrow(run, "digest bigint, salt int, key bigint, p0 bigint, p1 bigint, sizes bigint")
 
     t, e = side(True).alias("t"), side(False).alias("e")
-    total = F.col("t.runs") + F.col("e.runs")
+    size = lambda x, shift: F.shiftright(f"{x}.sizes", shift).bitwiseAND(F.lit((1 << 21) - 1))
+    few, many = F.least(size("t", 0), size("e", 0)), F.greatest(size("t", 0), size("e", 0))
     differ = F.bit_count(F.col("t.p0").bitwiseXOR(F.col("e.p0"))) + F.bit_count(F.col("t.p1").bitwiseXOR(F.col("e.p1")))
     may = (
         (F.col("t.digest") == F.col("e.digest")) & (F.col("t.salt") == F.col("e.salt")) & (F.col("t.key") != F.col("e.key"))
-        & (F.least("t.room", "e.room") >= F.greatest("t.need", "e.need")) & (differ <= total * (1 - 2 * least / (1 + least)) + 1e-6)
+        & (F.least(size("t", 42), size("e", 42)) >= F.greatest(size("t", 21), size("e", 21))) & (few >= many * least - 1e-6)
+        & (differ <= (few + many) * (1 - 2 * least / (1 + least)) + 1e-6)
     )
     return scratch.write(t.join(e, may).select(F.col("t.key").alias("ta"), F.col("e.key").alias("ea")).distinct(), "candidates")
 
 
+def shared_runs(texts: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pair the number of distinct runs in both, and of those in either."""
+    n = len(texts)
+    text, run = coded_runs(texts + others)
+    coded = np.sort(((text % n) << (7 * RUN + 1)) | (run << 1) | (text >= n)) if n else np.empty(0, np.int64)
+    coded = coded[np.r_[True, coded[1:] != coded[:-1]]] if n else coded
+    same = coded[1:] >> 1 == coded[:-1] >> 1
+    shared = np.bincount(coded[1:][same] >> (7 * RUN + 1), minlength=n)
+    return shared, np.bincount(coded >> (7 * RUN + 1), minlength=n) - shared
+
+
 def verify(pairs: DataFrame, least: float) -> DataFrame:
     """Keeps the pairs (.., plain_t, plain_e) of which at least ``least`` of all distinct runs are shared; adds jaccard and overlaps."""
 
     def run(batches):
-        for b in batches:
-            kept = []
-            for i, (p, q) in enumerate(zip(b.column("plain_t").to_pylist(), b.column("plain_e").to_pylist())):
-                x, y = runs_of(p), runs_of(q)
-                both = len(x & y)
-                if p != q and both >= least * (len(x) + len(y) - both):
-                    text, length, digest = cut_chunks([p.encode(), q.encode()])
+        for batch in batches:
+            for first in range(0, batch.num_rows, CUT):
+                b = batch.slice(first, CUT)
+                p, q = b.column("plain_t").to_pylist(), b.column("plain_e").to_pylist()
+                both, either = shared_runs(p, q)
+                at = np.flatnonzero(both >= least * either - 1e-9)
+                at = at[[p[i] != q[i] for i in at]] if len(at) else at
+                of_t, of_e = [], []
+                for i in at:
+                    text, length, digest = cut_chunks([p[i].encode(), q[i].encode()])
                     a, c = (dict(zip(digest[text == s].tolist(), length[text == s].tolist())) for s in (0, 1))
                     shared = sum(n for d, n in a.items() if d in c)
-                    kept.append((i, both / (len(x) + len(y) - both), shared / sum(a.values()), shared / sum(c.values())))
-            at, jac, of_t, of_e = zip(*kept) if kept else ((), (), (), ())
-            rows = b.select(["ta", "tb", "ea", "eb"]).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(v, pa.float64()) for v in (jac, of_t, of_e))], names=[*rows.schema.names, "jaccard", "overlap_t", "overlap_e"])
+                    of_t.append(shared / sum(a.values()))
+                    of_e.append(shared / sum(c.values()))
+                rows = b.select(["ta", "tb", "ea", "eb"]).take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array((both / either)[at], pa.float64()), pa.array(of_t, pa.float64()), pa.array(of_e, pa.float64())], names=[*rows.schema.names, "jaccard", "overlap_t", "overlap_e"])
 
     return pairs.mapInArrow(run, "ta bigint, tb bigint, ea bigint, eb bigint, jaccard double, overlap_t double, overlap_e double")
 
@@ -390,6 +461,7 @@ def overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, train: s
     found = scratch.write(classes(df, id_col, text_col, split_col, train), "classes")
     near = exact_candidates(found, scratch, least) if exact else candidates(found, scratch, least, share)
     n = near.count()
+    scratch.tidy()
 
     def side(name: str) -> DataFrame:
         rows = found.where(F.size(f"{name}_ids") > 0)
