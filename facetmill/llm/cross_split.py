@@ -4,7 +4,7 @@ Method: content-defined chunks. Plain spellings are cut by a rolling hash, the d
 across splits, and what a pair shares of its chunks' lengths are the overlap fractions of its two records. Only pairs that
 may share LEAST_SHARE of the longer record's length are looked for, so each record posts just its rarest chunks, up to that part
 of its length which can't hold the rest: a pair within the bound always meets at one of them. A posting carries what
-the record still has behind that chunk, its number of runs and 128 parity bits of its runs. A join keeps those
+the record still has behind that chunk, its number of runs and 192 parity bits of its runs. A join keeps those
 that can reach both the share and the Jaccard limit; the parity bound follows from the limit, so it loses
 nothing. Records of few runs have few chunks, of which an edit breaks a larger part: up to FEW_RUNS runs they post all their chunks, and
 up to FEWEST_RUNS their rarest runs as well, by the same rule with the limit itself as the share, which misses no pair.
@@ -53,7 +53,7 @@ PROBED = 500
 #: Hashed counters that rank chunks or runs, and parity bits of a record.
 COUNTERS = 1 << 18
 PARITY = 256
-POSTED_PARITY = 128
+POSTED_PARITY = 192
 
 
 class Overlaps(NamedTuple):
@@ -376,7 +376,7 @@ def candidates(found: DataFrame, scratch: Scratch, least: float, share: float =
     each of its evaluation postings is copied to all of them.
     """
     held = found.sparkSession.sparkContext.broadcast(posting_costs(found))
-    names = ["digest", "salt", "key", "p0", "p1", "sizes"]
+    names = ["digest", "salt", "key", "p0", "p1", "p2", "sizes"]
 
     def side(train: bool) -> DataFrame:
         def run(batches):
@@ -396,16 +396,17 @@ def candidates(found: DataFrame, scratch: Scratch, least: float, share: float =
                     text, most = p.text[at], (1 << 21) - 1
                     # a size above 21 bits counts as that: the bounds only get looser
                     sizes = np.minimum(p.room[at], most) << 42 | np.minimum(p.need[at], most) << 21 | np.minimum(p.runs[text], most)
-                    columns = [p.digest[at], salt.astype(np.int32), keys[i + text], p.parity[text, 0], p.parity[text, 1], sizes]
+                    columns = [p.digest[at], salt.astype(np.int32), keys[i + text], *p.parity[text].T.copy(), sizes]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
         rows = found.where(F.size("train_ids" if train else "eval_ids") > 0).select("ka", "plain")
-        return rows.mapInArrow(run, "digest bigint, salt int, key bigint, p0 bigint, p1 bigint, sizes bigint")
+        return rows.mapInArrow(run, "digest bigint, salt int, key bigint, p0 bigint, p1 bigint, p2 bigint, sizes bigint")
 
     t, e = side(True).alias("t"), side(False).alias("e")
     size = lambda x, shift: F.shiftright(f"{x}.sizes", shift).bitwiseAND(F.lit((1 << 21) - 1))
     few, many = F.least(size("t", 0), size("e", 0)), F.greatest(size("t", 0), size("e", 0))
-    differ = F.bit_count(F.col("t.p0").bitwiseXOR(F.col("e.p0"))) + F.bit_count(F.col("t.p1").bitwiseXOR(F.col("e.p1")))
+    p0, p1, p2 = (F.bit_count(F.col(f"t.p{i}").bitwiseXOR(F.col(f"e.p{i}"))) for i in range(3))
+    differ = p0 + p1 + p2
     may = (
         (F.col("t.digest") == F.col("e.digest")) & (F.col("t.salt") == F.col("e.salt")) & (F.col("t.key") != F.col("e.key"))
         & (F.least(size("t", 42), size("e", 42)) >= F.greatest(size("t", 21), size("e", 21))) & (few >= many * least - 1e-6)
