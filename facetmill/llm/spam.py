@@ -1,44 +1,49 @@
 """Problem 10: pages made of repeated keywords, lists of links, menus, hash tags or product tags.
 
-Method: an exact check of every page: the words that stand in runs of list items that are links,
-tags, menu paths, priced products or repeated keywords must be more than half of the page. Honest
-reference lists, tables and logs are lists as well, but none of these. No page is left out by how it
-compares with others, so that a corpus rich in such pages can't make them the norm.
-
-The rank-frequency curve of each page's words, fitted with SQL windows, describes the pages found. In
-prose the n-th most frequent word has a frequency near n ** -slope; keyword pages are flat or steep,
-lists of links bend. Each page gets the slope, the residual of the fit, and the divergence of the head
-of its curve from the word frequencies of its language. For the fits the texts are shuffled once, by
-document; words, counts, ranks and fits stay in that partitioning.
+Method: the rank-frequency curve of each page's words is fitted with SQL windows, and the page's word frequencies are held
+against those of prose in the nearest language. In prose the n-th most frequent word has a frequency near
+n ** -slope; keyword pages are flat or steep, lists bend, and all of them lack the words that hold sentences together. Slope,
+residual and divergence of a page are measured in spreads of those of prose of its language and length. A
+page is flagged when its divergence is extreme, or its slope or residual is and its divergence half as far out, and,
+as the problem asks for pages mainly of such lists, when no more than half of it stands in sentences.
+
+Prose is what mainly stands in sentences: stretches between full stops, question or exclamation marks without a break, bar, bullet or hash. So
+a corpus rich in spam doesn't make it the norm, as pages without sentences give no frequencies, centres or spreads.
+Nothing looks for links, tags, prices or any word.
+
+Texts are read once and never shuffled. What moves is the spectrum of each page (how many words occur how often), a few rows
+whatever its length. The frequencies of prose, WORD_BUCKETS for each two-letter language, are sent to all tasks.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetmill.sources.scratch import Scratch
 
-#: Ranks of a curve whose words are held against the language's frequencies, and hash buckets of words of a language.
-RANKS = 48
-WORD_BUCKETS = 4096
-LEAST_SHARE = 0.5
+#: Hash buckets of the words of a language.
+WORD_BUCKETS = 1 << 14
+#: Least part of a page in sentences that makes it prose, and the most of it that a flagged page has.
+PROSE, MOST_PROSE = 0.6, 0.5
+#: Spreads from the centre of prose that are extreme, and the least spread there is.
+EXTREME = 9.0
+LEAST_SPREAD = 0.15
+#: Pages of a length, of all languages, that weigh on the centre and spread of one language.
+SHARED = 50
+#: Shortest stretch that counts as a sentence, in characters.
+SENTENCE = 25
 
 _WORD = re.compile(r"[^\W_]+")
-_LINES = re.compile(r"[\n\r\x0b\x0c\x85  ]+")
-_URL = re.compile(r"https?://|www\.", re.I)
-_LINK = re.compile(r"<a\s[^>]*>|</a>|\bhref=\S*|(?:https?://|www\.)[^\s)\"'>]+", re.I)
-_TAG = re.compile(r"#\w")
-_PATH = re.compile(r"\S\s+[>›→»]\s+\S")
-_PRODUCT = re.compile(r"in stock|\bSKU ?\d|\b(?:EUR|USD|GBP|CHF)\b|[€$£]\s*\d|\d\s*[€$£]", re.I)
-_ITEM_ENDS = re.compile(r"\s*(?:\||•|·|»|«|★|\*|//|::|;|,|→|\s[-–—/>~+]\s|\t)\s*")
-_NUMBERED = re.compile(r"^\s*(?:\[\d+\]|\d+[.)])\s")
-_SENTENCE = re.compile(r"[^\W_A-Z][.!?](?:\s+[\"“(«]?[A-ZÀ-Ý]|[\"”’)»]*\s*$)")
+_BREAK = re.compile(r"[.!?\n\r|•#>]")
+#: ASCII characters that are no letters or digits become blanks, capitals small letters.
+_PLAIN = bytes(ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(128)) + bytes(128)
 
 
 def language(c: Column) -> Column:
@@ -46,120 +51,143 @@ def language(c: Column) -> Column:
     return F.coalesce(F.nullif(F.lower(F.regexp_extract(c, r"^\s*([A-Za-z]{2})(?![A-Za-z])", 1)), F.lit("")), F.lit("xx"))
 
 
-def rank_curves(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, r, p, bucket, n_words): relative frequency of each page's r-th most frequent word; docs is (doc_id, lang, text)."""
-    words = docs.repartition("doc_id").select("doc_id", "lang", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("word")).where("word <> ''")
-    counts = words.groupBy("doc_id", "lang", F.xxhash64("word").alias("w")).agg(F.count("*").alias("n"))
-    page = Window.partitionBy("doc_id")
-    ranked = counts.withColumn("r", F.row_number().over(page.orderBy(F.desc("n"), "w"))).withColumn("n_words", F.sum("n").over(page))
-    return ranked.select("doc_id", "lang", "r", (F.col("n") / F.col("n_words")).alias("p"), F.pmod("w", F.lit(WORD_BUCKETS)).cast("short").alias("bucket"), "n_words")
-
-
-def page_fits(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, lang, slope, residual, head): the fit of each page and the head of its curve."""
-    x, y = F.ln("r"), F.ln("p")
-    head = F.struct("r", F.col("p").cast("float").alias("p"), "bucket")
-    fits = rank_curves(docs).groupBy("doc_id").agg(
-        F.first("lang").alias("lang"),
-        F.regr_slope(y, x).alias("slope"),
-        F.sqrt(F.greatest(F.lit(0.0), F.regr_syy(y, x) - F.pow(F.regr_sxy(y, x), 2) / F.nullif(F.regr_sxx(y, x), F.lit(0.0))) / F.count("*")).alias("residual"),
-        F.collect_list(F.when(F.col("r") <= RANKS, head)).alias("head"),
-    )
-    return scratch.write(fits.withColumn("head", F.transform("head", lambda h: h.dropFields("r"))), "fits")
-
-
-def divergences(fits: DataFrame) -> DataFrame:
-    """(doc_id, divergence): of the head of each page's curve from the mean frequencies of its words in its language."""
-    heads = fits.select("doc_id", "lang", F.explode("head").alias("h")).select("doc_id", "lang", "h.bucket", F.col("h.p").cast("double").alias("p"))
-    # at most WORD_BUCKETS rows for each two-letter language
-    sums = heads.groupBy("lang", "bucket").agg(F.sum("p").alias("s"))
-    usual = sums.join(F.broadcast(fits.groupBy("lang").agg(F.count("*").alias("pages"))), "lang").select("lang", "bucket", (F.col("s") / F.col("pages")).alias("q"))
-    return heads.join(F.broadcast(usual), ["lang", "bucket"]).groupBy("doc_id").agg(F.sum(F.col("p") * F.ln(F.col("p") / F.col("q"))).alias("divergence"))
-
-
-def _list_lines(text: str) -> Iterator[list[str]]:
-    """Stretches of lines that are list items or lists of items, not sentences."""
-    run: list[str] = []
-    for line in _LINES.split(text):
-        words = _WORD.findall(line)
-        if not words:
-            continue
-        body = _LINK.sub(" ", line)
-        own = len(_WORD.findall(body))
-        urls, tags = len(_URL.findall(line)), len(_TAG.findall(line))
-        if _NUMBERED.match(line) and own >= 4 and urls <= 1:
-            listed = False
-        elif urls:
-            listed = own <= 6 * urls + 2 or len(_PRODUCT.findall(line)) >= 2
-        elif tags >= 3 and tags * 4 >= len(words):
-            listed = True
-        elif _SENTENCE.search(body):
-            listed = False
-        else:
-            items = sum(1 for x in _ITEM_ENDS.split(body) if _WORD.search(x))
-            listed = len(words) <= 9 or (items >= 5 and own <= 5 * items) or _repeated(words) >= 0.7
-        if listed:
-            run.append(line)
-        elif run:
-            yield run
-            run = []
-    if run:
-        yield run
-
-
-def _repeated(words: list[str]) -> float:
-    """Share of words that occur three times or more, numbers aside."""
-    counts = Counter(w.lower() for w in words)
-    return sum(n for w, n in counts.items() if n >= 3 and not w.isdigit()) / max(1, len(words))
-
-
-def listed_words(text: str) -> tuple[int, int]:
-    """(words in runs of keywords, links, tags, menus or products; all words) of a page."""
-    found = 0
-    for run in _list_lines(text):
-        part = "\n".join(run)
-        words = _WORD.findall(part)
-        n = len(words)
-        if n < 8:
-            continue
-        urls, tags, paths = (len(p.findall(part)) for p in (_URL, _TAG, _PATH))
-        if (urls >= 3 and urls * 12 >= n) or (tags >= 4 and tags * 4 >= n) or (paths >= 4 and paths * 6 >= n) or len(_PRODUCT.findall(part)) >= 3:
-            found += n
-        elif sum(w.isdigit() for w in words) < 0.3 * n and _repeated(words) >= 0.45:
-            found += n
-    return found, len(_WORD.findall(text))
-
-
-def _pages(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), language(F.col(lang_col)).alias("lang"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and length(text) > 0")
-
-
-def listed_pages(docs: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(doc_id, share) of the pages with more than ``least_share`` of their words in such runs; docs is (doc_id, text, ..)."""
-
-    def check(batches):
-        for b in batches:
-            counted = [listed_words(t) for t in b.column(1).to_pylist()]
-            share = pa.array([n / max(1, total) for n, total in counted], pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0), share], names=["doc_id", "share"])
+def words_of(text: str) -> list[str]:
+    if text.isascii():
+        return text.encode().translate(_PLAIN).decode().split()
+    return _WORD.findall(text.lower())
+
+
+def in_sentences(text: str) -> float:
+    """The part of a text's characters that stands in sentences."""
+    held, last, n = 0, 0, len(text)
+    for m in _BREAK.finditer(text):
+        at = m.start()
+        if text[at] in ".!?":
+            if at + 1 < n and not (text[at + 1].isspace() or text[at + 1] in "\"”’)»"):
+                continue
+            if at - last >= SENTENCE:
+                held += at - last
+        last = at + 1
+    return held / n if n else 0.0
 
-    return docs.select("doc_id", "text").mapInArrow(check, "doc_id bigint, share double").where(F.col("share") > least_share)
 
+def page_counts(df: DataFrame, id_col: str, text_col: str, lang_col: str, scratch: Scratch) -> DataFrame:
+    """(page, doc_id, lang, n_words, sentences, buckets, counts, often, many): the words of each page by bucket, and how many words occur how often.
 
-def spam_ids(df: DataFrame, id_col: str, text_col: str, lang_col: str, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(doc_id) of the pages of ``spam_pages``, without the fits."""
-    return listed_pages(_pages(df, id_col, text_col, lang_col), least_share).select("doc_id").distinct()
+    page numbers the rows, so that an id delivered twice is two pages.
+    """
+    lists = pa.list_(pa.int32())
+    out = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("sentences", pa.float64()), ("buckets", lists), ("counts", lists), ("often", lists), ("many", lists)])
 
+    def run(batches):
+        seen: dict[str, int] = {}
 
-def spam_pages(df: DataFrame, id_col: str, text_col: str, lang_col: str, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(doc_id, share, slope, residual, divergence) of the pages with more than ``least_share`` of their words in such runs.
+        def bucket(word: str) -> int:
+            if len(seen) > 500_000:
+                seen.clear()
+            seen[word] = b = zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORD_BUCKETS
+            return b
 
-    Null ids and null, empty or wordless texts are left out; an unknown language is one of its own. Ids are unique; of a repeated
-    id all rows are one page for the fit, and each row is checked. Texts are read whole.
+        for b in batches:
+            columns: list[list] = [[] for _ in out]
+            for doc, lang, text in zip(*(c.to_pylist() for c in b.columns)):
+                words = Counter(words_of(text))
+                if not words:
+                    continue
+                held: Counter = Counter()
+                for w, n in words.items():
+                    k = seen.get(w)
+                    held[bucket(w) if k is None else k] += n
+                spectrum = Counter(words.values())
+                row = doc, lang, sum(words.values()), in_sentences(text), [*held.keys()], [*held.values()], [*spectrum.keys()], [*spectrum.values()]
+                for column, value in zip(columns, row):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
+
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), language(F.col(lang_col)).alias("lang"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and length(text) > 0")
+    pages = docs.mapInArrow(run, "doc_id bigint, lang string, n_words bigint, sentences double, buckets array<int>, counts array<int>, often array<int>, many array<int>")
+    return scratch.write(pages.withColumn("page", F.monotonically_increasing_id()), "pages")
+
+
+def page_fits(pages: DataFrame) -> DataFrame:
+    """(page, slope, residual): the line through each page's rank-frequency curve; words equally frequent share their middle rank."""
+    spectrum = pages.select("page", "n_words", F.explode(F.arrays_zip("often", "many")).alias("s")).select("page", F.col("s.many").cast("double").alias("w"), (F.col("s.often") / F.col("n_words")).alias("p"))
+    last = F.sum("w").over(Window.partitionBy("page").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0))
+    x, y, w = F.ln(last - (F.col("w") - 1) / 2), F.ln("p"), F.col("w")
+    points = spectrum.withColumn("x", x).withColumn("y", y)
+    sums = points.groupBy("page").agg(*(F.sum(w * e).alias(n) for n, e in (("s", F.lit(1.0)), ("sx", F.col("x")), ("sy", F.col("y")), ("sxx", F.col("x") ** 2), ("sxy", F.col("x") * F.col("y")), ("syy", F.col("y") ** 2))))
+    own = sums.select("page", "s", (F.col("sxx") - F.col("sx") ** 2 / F.col("s")).alias("vx"), (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("s")).alias("c"), (F.col("syy") - F.col("sy") ** 2 / F.col("s")).alias("vy"))
+    slope = F.when(F.col("vx") > 1e-9, F.col("c") / F.col("vx")).otherwise(0.0)
+    return own.select("page", slope.alias("slope"), F.sqrt(F.greatest(F.lit(0.0), F.col("vy") - slope * F.col("c")) / F.col("s")).alias("residual"))
+
+
+def prose_frequencies(pages: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The languages with prose, and the mean frequency of each of WORD_BUCKETS buckets of words in each: at most 26 * 26 languages."""
+    prose = pages.where((F.col("sentences") >= PROSE) & (F.col("lang") != "xx"))
+    held = prose.select("lang", "n_words", F.explode(F.arrays_zip("buckets", "counts")).alias("b"))
+    sums = held.groupBy("lang", F.col("b.buckets").alias("bucket")).agg(F.sum(F.col("b.counts") / F.col("n_words")).alias("s")).toPandas()
+    size = {r.lang: r.n for r in prose.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    names = sorted(size)
+    out = np.full((len(names), WORD_BUCKETS), 1.0 / WORD_BUCKETS)
+    at = {n: i for i, n in enumerate(names)}
+    out[sums["lang"].map(at).to_numpy(np.int64), sums["bucket"].to_numpy(np.int64)] += sums["s"].to_numpy(float)
+    return names, out / (np.array([size[n] for n in names], float)[:, None] + 1)
+
+
+def divergences(pages: DataFrame) -> DataFrame:
+    """(page, doc_id, nearest, length, sentences, divergence): from the nearest language's prose; without any prose there is no row."""
+    names, usual = prose_frequencies(pages)
+    held = pages.sparkSession.sparkContext.broadcast((names, np.log(usual)))
+
+    def run(batches):
+        names, logs = held.value
+        for b in batches:
+            if not b.num_rows or not names:
+                continue
+            size = np.diff(b.column("buckets").offsets.to_numpy())
+            bucket, n = (b.column(c).flatten().to_numpy() for c in ("buckets", "counts"))
+            ends = np.r_[0, np.cumsum(size)][:-1]
+            p = n / np.repeat(b.column("n_words").to_numpy(), size)
+            each = np.add.reduceat(p * np.log(p), ends)[:, None] - np.stack([np.add.reduceat(p * log[bucket], ends) for log in logs], 1)
+            best = each.argmin(1)
+            columns = [b.column("page"), b.column("doc_id"), pa.array(best, pa.int32()), pa.array(np.log2(b.column("n_words").to_numpy()).astype(np.int32)), b.column("sentences"), pa.array(each[np.arange(len(best)), best])]
+            yield pa.RecordBatch.from_arrays(columns, names=["page", "doc_id", "nearest", "length", "sentences", "divergence"])
+
+    picked = pages.select("page", "doc_id", "n_words", "sentences", "buckets", "counts")
+    return picked.mapInArrow(run, "page bigint, doc_id bigint, nearest int, length int, sentences double, divergence double")
+
+
+def in_spreads(scored: DataFrame) -> DataFrame:
+    """Adds z_divergence, z_slope and z_residual: distances from the centre of prose of the page's language and length, in spreads.
+
+    A class counts with SHARED pages' weight of the same length in all languages, and these with as much weight of all prose.
+    """
+    prose = scored.where(F.col("sentences") >= PROSE)
+    kinds = ("divergence", "slope", "residual")
+    sums = [f(k).alias(f"{n}_{k}") for k in kinds for n, f in (("m", F.avg), ("v", F.var_pop))]
+    by_class = prose.groupBy("nearest", "length").agg(F.count("*").alias("n"), *sums)
+    by_length = prose.groupBy("length").agg(F.count("*").alias("n_l"), *(c.alias(f"{n}l_{k}") for k in kinds for n, c in (("m", F.avg(k)), ("v", F.var_pop(k)))))
+    whole = prose.agg(*(c.alias(f"{n}w_{k}") for k in kinds for n, c in (("m", F.avg(k)), ("v", F.var_pop(k))))).withColumn("one", F.lit(1))
+    # classes are languages times binary logarithms of lengths, a few hundred rows
+    out = scored.join(F.broadcast(by_class), ["nearest", "length"], "left").join(F.broadcast(by_length), "length", "left").withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")
+    n, n_l = F.coalesce("n", F.lit(0)), F.coalesce("n_l", F.lit(0))
+    for k in kinds:
+        centre = {x: (F.coalesce(f"{x}l_{k}", F.lit(0.0)) * n_l + F.col(f"{x}w_{k}") * SHARED) / (n_l + SHARED) for x in "mv"}
+        centre = {x: (F.coalesce(f"{x}_{k}", F.lit(0.0)) * n + c * SHARED) / (n + SHARED) for x, c in centre.items()}
+        out = out.withColumn(f"z_{k}", (F.col(k) - centre["m"]) / F.greatest(F.sqrt(centre["v"]), F.lit(LEAST_SPREAD)))
+    return out.select("page", "doc_id", "sentences", *kinds, *(f"z_{k}" for k in kinds))
+
+
+def spam_pages(df: DataFrame, id_col: str, text_col: str, lang_col: str, extreme: float = EXTREME) -> DataFrame:
+    """(doc_id, sentences, divergence, slope, residual and their z_ distances) of the flagged pages.
+
+    Null ids and null, empty or wordless texts are left out; an unknown or wrong language counts as the nearest one. Each row is a
+    page, also where ids repeat. A table without any prose has nothing to compare with and gives no row. Texts are read whole.
     """
     scratch = Scratch(df.sparkSession, "spam")
-    docs = _pages(df, id_col, text_col, lang_col)
-    found = scratch.write(listed_pages(docs, least_share), "listed")
-    fits = page_fits(docs, scratch)
-    scored = fits.select("doc_id", "slope", "residual").join(divergences(fits), "doc_id", "left")
-    return found.join(scored, "doc_id", "left").select("doc_id", "share", "slope", "residual", "divergence")
+    pages = page_counts(df, id_col, text_col, lang_col, scratch)
+    scored = scratch.write(divergences(pages).join(page_fits(pages), "page"), "scored")
+    z = in_spreads(scored)
+    bent = F.greatest(F.abs("z_slope"), F.abs("z_residual")) >= extreme
+    flagged = (F.col("z_divergence") >= extreme) | (bent & (F.col("z_divergence") >= extreme / 2))
+    return z.where(flagged & (F.col("sentences") <= MOST_PROSE)).drop("page")
