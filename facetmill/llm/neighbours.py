@@ -1,15 +1,15 @@
 """Problem 7: for every bit vector the k most similar other ones, at an accepted loss of accuracy.
 
-Method: shifted space-filling curves. Each curve projects a vector onto a few coordinates (the
-smallest rank of its set bits under a random order; two vectors agree in one with the probability of their
-Tanimoto similarity) and takes the position on a Hilbert curve through them. Every curve orders all
-vectors; ranges of each order are sorted in Spark, and windows of neighbouring positions give
-candidates. A folded copy of each vector travels along and drops candidates that can't be near.
-What is left is reranked with the full vectors.
-
-Vectors cross the network once for the rerank; the curves move four words a row. Equal vectors of one
-batch travel as one row and are expanded at the end, so a vector that a third of all rows
-share costs no more than others.
+Method: shifted space-filling curves. Each curve projects a vector onto a few coordinates, the smallest ranks of its set bits
+under random orders of the bits. Near vectors have equal or near smallest ranks, as a vector's next smallest rank is
+not far, so the coordinates keep their order. They are shifted by a random step per curve and put on a Hilbert curve.
+Every curve orders all vectors; Spark range-partitions the orders at keys it samples, and windows of neighbouring positions give candidates. The
+edges of neighbouring ranges meet once more, so no window is cut by a range. A folded copy of each vector travels along: two
+folded vectors differ in no more bits than the vectors do, which drops candidates below the least similarity
+and never one above it. What is left is reranked with the full vectors.
+
+Vectors cross the network for the rerank only. Equal vectors of one batch travel as one row and are expanded at the end, so a
+vector that a third of all rows share costs no more than others; a cell that many vectors share is split over ranges by id.
 """
 
 from __future__ import annotations
@@ -23,16 +23,15 @@ from facetmill.llm.collapse import BATCH_ROWS
 from facetmill.sources.scratch import Scratch
 
 CURVES = 12
-COORDINATES = 3
-BITS = 10
-#: Bits of each of two further coordinates that order the vectors of one cell.
-TIE_BITS = 8
-SIZE_BITS = 12
+COORDINATES = 6
+#: Bits of a smallest rank; larger ranks count as the largest. A shift adds one bit.
+BITS = 7
 WINDOW = 16
-_CURVE_AT = COORDINATES * BITS + 2 * TIE_BITS + SIZE_BITS
-#: Candidates are kept when the folded vectors allow this much less than the least similarity wanted.
-MARGIN = 0.15
+#: 64-bit words of a folded vector.
+FOLDED = 4
+#: Rows of one curve in a range, about.
 RANGE_ROWS = 50_000
+_CURVE_AT = COORDINATES * (BITS + 1)
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -65,33 +64,31 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def curve_keys(vectors: np.ndarray, curves: int, coordinates: int, seed: int) -> np.ndarray:
-    """(rows, curves) positions: the curve, its cell, two further coordinates that order a cell, the number of set bits."""
-    n, width = vectors.shape[0], vectors.shape[1] * 8
+def smallest_ranks(vectors: np.ndarray, orders: np.ndarray) -> np.ndarray:
+    """(rows, orders): the smallest rank of each row's set bits under each order, at most 2**BITS - 1; every row has a set bit."""
     bits = np.unpackbits(vectors, axis=1)
-    at = np.flatnonzero(bits)
-    where = (at % width).astype(np.int32)
+    where = np.flatnonzero(bits) % bits.shape[1]
     counts = bits.sum(1, dtype=np.int64)
     first = np.cumsum(counts) - counts
+    return np.stack([np.minimum(np.minimum.reduceat(o[where], first), (1 << BITS) - 1) for o in orders], 1)
+
+
+def curve_keys(vectors: np.ndarray, curves: int, coordinates: int, seed: int) -> np.ndarray:
+    """(rows, curves) positions: the curve, and the place of the shifted coordinates on it."""
     dice = np.random.default_rng(seed)
-    out = np.zeros((n, curves), np.int64)
+    orders = np.stack([dice.permutation(vectors.shape[1] * 8).astype(np.uint16) for _ in range(curves * coordinates)])
+    shifts = dice.integers(0, 1 << BITS, (curves, coordinates))
+    ranks = smallest_ranks(vectors, orders).astype(np.int64)
+    out = np.empty((len(vectors), curves), np.int64)
     for c in range(curves):
-        drawn = []
-        for _ in range(coordinates + 2):
-            order = dice.permutation(width).astype(np.uint16)
-            spread = dice.integers(0, 1 << BITS, width, np.uint16)
-            drawn.append(spread[np.minimum.reduceat(order[where], first)])
-        cell = hilbert(np.stack(drawn[:coordinates], 1), BITS)
-        ties = (drawn[-2] >> (BITS - TIE_BITS)).astype(np.int64) << TIE_BITS | (drawn[-1] >> (BITS - TIE_BITS))
-        cell = cell.astype(np.int64) << (2 * TIE_BITS) | ties
-        out[:, c] = np.int64(c) << _CURVE_AT | cell << SIZE_BITS | np.minimum(counts, (1 << SIZE_BITS) - 1)
+        out[:, c] = hilbert(ranks[:, c * coordinates : (c + 1) * coordinates] + shifts[c], BITS + 1).astype(np.int64) | np.int64(c) << _CURVE_AT
     return out
 
 
 def fold(vectors: np.ndarray) -> np.ndarray:
-    """(rows, 2) words: the vector's 64-bit words xored into two, so that their distance tells how many bits differ."""
+    """(rows, FOLDED) words: the vector's 64-bit words xored into a few, which differ in no more bits than the vectors."""
     words = np.ascontiguousarray(vectors).view(np.uint64)
-    return np.bitwise_xor.reduce(words.reshape(len(words), -1, 2), axis=1)
+    return np.bitwise_xor.reduce(words.reshape(len(words), -1, FOLDED), axis=1)
 
 
 def _rows(column: pa.Array, width: int) -> np.ndarray:
@@ -99,8 +96,9 @@ def _rows(column: pa.Array, width: int) -> np.ndarray:
 
 
 def prepare(df: DataFrame, id_col: str, vector_col: str, width: int, curves: int, coordinates: int, seed: int) -> DataFrame:
-    """(id, twins, f0, f1, keys): one row for each distinct vector of a batch, under its smallest id."""
-    out = pa.schema([("id", pa.int64()), ("twins", pa.list_(pa.int64())), ("f0", pa.int64()), ("f1", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """(id, twins, n, f0.., keys): one row for each distinct vector of a batch, under its smallest id."""
+    words = [f"f{i}" for i in range(FOLDED)]
+    out = pa.schema([("id", pa.int64()), ("twins", pa.list_(pa.int64())), ("n", pa.int32()), *((w, pa.int64()) for w in words), ("keys", pa.list_(pa.int64()))])
 
     def flush(parts: list[pa.Table]):
         if not parts:
@@ -117,7 +115,8 @@ def prepare(df: DataFrame, id_col: str, vector_col: str, width: int, curves: int
                 ids = sorted(b.column("id_distinct")[i].as_py())
                 twins[i] = ids if len(ids) > 1 else None
             offsets = pa.array(np.arange(0, len(v) * curves + 1, curves), pa.int32())
-            columns = [b.column("id_min"), pa.array(twins, out.field(1).type), pa.array(folded[:, 0].copy()), pa.array(folded[:, 1].copy()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))]
+            n = np.bitwise_count(v).sum(1, dtype=np.int32)
+            columns = [b.column("id_min"), pa.array(twins, out.field(1).type), pa.array(n), *(pa.array(folded[:, i].copy()) for i in range(FOLDED)), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))]
             yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     def run(batches):
@@ -133,55 +132,87 @@ def prepare(df: DataFrame, id_col: str, vector_col: str, width: int, curves: int
     zero = F.unhex(F.lit("00" * width))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     rows = rows.where(F.col("id").isNotNull() & (F.length("vector") == width) & (F.col("vector") != zero))
-    return rows.mapInArrow(run, "id bigint, twins array<bigint>, f0 bigint, f1 bigint, keys array<bigint>")
+    return rows.mapInArrow(run, "id bigint, twins array<bigint>, n int, " + ", ".join(f"{w} bigint" for w in words) + ", keys array<bigint>")
 
 
-def window_pairs(prepared: DataFrame, ranges: int, window: int, least: float) -> DataFrame:
-    """(a, b): pairs of neighbouring positions of any curve that may reach ``least``; each row also meets the first rows of its run.
+def _near_in_windows(t: np.ndarray, old: int, window: int, least: float) -> np.ndarray:
+    """(a, b), each once, of rows at most ``window`` apart on one curve that may reach ``least``; both before ``old`` is done already.
 
-    A run is a stretch of equal positions, as equal vectors have; its first rows have its smallest ids.
+    t holds the columns at, id, n and the folded words, in order of at.
+    """
+    at, ids, n, words = t[0], t[1], t[2], t[3:].view(np.uint64)
+    curve, rows = at >> _CURVE_AT, t.shape[1]
+    found = [np.empty((2, 0), np.int64)]
+    for step in range(1, min(window, rows - 1) + 1):
+        i = np.arange(max(0, old - step), rows - step)
+        j = i + step
+        i, j = (x[(curve[i] == curve[j]) & (ids[i] != ids[j])] for x in (i, j))
+        apart = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words)
+        near = apart <= (1 - least) / (1 + least) * (n[i] + n[j]) + 1e-6
+        found.append(np.stack([i[near], j[near]]))
+    i, j = ids[np.concatenate(found, axis=1)]
+    return np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1)
+
+
+def window_pairs(prepared: DataFrame, ranges: int, window: int, least: float, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs of neighbouring positions of any curve that may reach ``least``.
+
+    First each range by itself; it also hands on its first and last ``window`` rows, under the number of the edge they lie at.
+    Then the two sides of each edge.
     """
-    per_fold = 128
-    cell_bits = COORDINATES * BITS
+    kept = ["at", "id", "n", *(f"f{i}" for i in range(FOLDED))]
+    names = ["a", "b", "edge", *kept]
+    empty = np.empty((2, 0), np.int64)
 
-    def near(at: np.ndarray, f0: np.ndarray, f1: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        apart = np.bitwise_count(f0[i] ^ f0[j]).astype(np.int64) + np.bitwise_count(f1[i] ^ f1[j])
-        differ = np.log1p(-np.minimum(2 * apart, per_fold - 2) / per_fold) / np.log1p(-2 / per_fold)
-        both = (at[i] & ((1 << SIZE_BITS) - 1)) + (at[j] & ((1 << SIZE_BITS) - 1))
-        return both - differ >= least * (both + differ)
+    def rows_out(pairs: np.ndarray, edge: int | None, rows: np.ndarray | None) -> pa.RecordBatch:
+        some = pairs.shape[1] if rows is None else rows.shape[1]
+        blank = pa.nulls(some, pa.int64())
+        own = [pa.array(pairs[0].copy()), pa.array(pairs[1].copy()), blank] if rows is None else [blank, blank, pa.array(np.full(some, edge))]
+        return pa.RecordBatch.from_arrays([*own, *([blank] * len(kept) if rows is None else [pa.array(r.copy()) for r in rows])], names=names)
 
-    def run(batches):
-        tail = None
+    def inside(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId()
+        tail, head = None, None
         for b in batches:
-            t = np.stack([c.to_numpy() for c in b.columns])
+            t = np.stack([c.to_numpy().astype(np.int64) for c in b.columns])
             old = 0 if tail is None else tail.shape[1]
             t = t if tail is None else np.concatenate([tail, t], axis=1)
-            at, ids, f0, f1 = t[0], t[1], t[2].view(np.uint64), t[3].view(np.uint64)
-            n = t.shape[1]
-            curve = at >> _CURVE_AT
-            found = []
-            for step in range(1, min(window, n - 1) + 1):
-                i = np.arange(max(0, old - step), n - step)
-                i = i[curve[i] == curve[i + step]]
-                found.append(np.stack([i, i + step])[:, near(at, f0, f1, i, i + step)])
-            start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            first = np.repeat(start, np.diff(np.r_[start, n]))
-            far = np.arange(old, n)
-            for step in range(4):
-                i = far[far - first[far] > window + step]
-                found.append(np.stack([first[i] + step, i])[:, near(at, f0, f1, first[i] + step, i)])
-            i, j = np.concatenate(found, axis=1)
-            pairs = np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])])[:, ids[i] != ids[j]]
-            pairs = pairs[:, np.lexsort(pairs)]
-            pairs = pairs[:, np.r_[True, (pairs[:, 1:] != pairs[:, :-1]).any(0)][: pairs.shape[1]]]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0].copy()), pa.array(pairs[1].copy())], names=["a", "b"])
-            # the next batch continues the window, and the open run keeps its first rows
-            tail = t[:, np.union1d(np.arange(start[-1], min(start[-1] + 4, n)), np.arange(max(0, n - window), n))]
-
-    rows = prepared.select(F.explode("keys").alias("at"), "id", "f0", "f1")
-    cell = F.shiftright("at", _CURVE_AT - cell_bits).bitwiseAND(F.lit((1 << cell_bits) - 1))
-    spot = F.shiftright("at", _CURVE_AT) * F.lit(ranges) + F.shiftright(cell * F.lit(ranges), cell_bits)
-    return rows.repartition(spot).sortWithinPartitions("at", "id").mapInArrow(run, "a bigint, b bigint")
+            if head is None or head.shape[1] < window:
+                own = t[:, old:] if head is not None else t
+                head = (own if head is None else np.concatenate([head, own], axis=1))[:, :window]
+            yield rows_out(_near_in_windows(t, old, window, least), None, None)
+            tail = t[:, -window:]
+        if tail is not None:
+            yield rows_out(empty, number, head)
+            yield rows_out(empty, number + 1, tail)
+
+    def across(batches):
+        held, at = [], None
+
+        def meet():
+            t = np.concatenate(held, axis=1)
+            return rows_out(_near_in_windows(t[1:], 0, window, least), None, None).select(["a", "b"])
+
+        for b in batches:
+            t = np.stack([c.to_numpy().astype(np.int64) for c in b.columns])
+            cuts = np.flatnonzero(np.diff(t[0])) + 1
+            for part in np.split(t, cuts, axis=1):
+                if part.shape[1] and part[0, 0] != at and held:
+                    yield meet()
+                    held = []
+                if part.shape[1]:
+                    at = part[0, 0]
+                    held.append(part)
+        if held:
+            yield meet()
+
+    rows = prepared.select(F.explode("keys").alias("at"), *kept[1:])
+    schema = ", ".join(f"{n} bigint" for n in names)
+    found = scratch.write(rows.repartitionByRange(ranges, "at", "id").sortWithinPartitions("at", "id").mapInArrow(inside, schema), "windows")
+    edges = found.where("edge is not null").select("edge", *kept).repartition("edge").sortWithinPartitions("edge", "at", "id").mapInArrow(across, "a bigint, b bigint")
+    return found.where("edge is null").select("a", "b").unionAll(edges)
 
 
 def similarities(pairs: DataFrame, vectors: DataFrame, width: int, least: float) -> DataFrame:
@@ -204,17 +235,18 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 3, least: floa
     """(id, other, similarity, nth): of each vector up to k others with the highest Tanimoto similarity, all at least ``least``.
 
     Ties go to the smaller id. Rows with a null id, a null vector, one of another width, or one without a set bit take
-    no part; a repeated row is one row (of an id with several vectors, each batch takes part with its own). Coordinates
-    per curve are fixed; raise ``curves`` or ``window`` for more recall. Measured on sf0.1 at 0.6: above 0.97.
+    no part; a repeated row is one row; an id with several vectors is compared by the smallest of them. Curves and
+    windows are fixed; raise ``curves`` or ``window`` for more recall. Measured recall is in the README.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "nearest")
     prepared = prepare(df, id_col, vector_col, width, curves, COORDINATES, seed)
     ready = scratch.write(prepared, "ready")
-    ranges = max(4, ready.count() // RANGE_ROWS)
-    pairs = scratch.write(window_pairs(ready, ranges, window, least - MARGIN).distinct(), "pairs")
+    # results don't depend on the number of ranges, as their edges meet
+    ranges = max(1, ready.count() * curves // RANGE_ROWS)
+    pairs = scratch.write(window_pairs(ready, ranges, window, least, scratch).distinct(), "pairs")
     scratch.tidy()
-    vectors = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where((F.length("vector") == width) & F.col("id").isNotNull()).dropDuplicates(["id"])
+    vectors = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where((F.length("vector") == width) & F.col("id").isNotNull()).groupBy("id").agg(F.min("vector").alias("vector"))
     near = similarities(pairs, vectors, width, least)
     both = near.unionAll(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     # each row stands for its equals in a batch: they are near it and near each other
