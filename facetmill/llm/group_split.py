@@ -1,10 +1,12 @@
 """Problem 5: train, validation and test splits in which all rows that are tied get the same split.
 
 Method: an incremental component table that is kept on storage, with pointer jumping for merges.
-Rows tie through keys (a plain spelling, a scaffold, a lot). The state between batches is one row
-for each key with its component, and one for each component with its split. A new batch is linked
+Rows tie through keys (a plain spelling, a scaffold, a lot). The table has one row for each key with its component, one for
+each tied row, and one for each component with its split; ``save`` writes it as a new generation under a path and
+``open_state`` reads the last whole one, in any later session. A new batch is linked
 through that table: components that have a split keep it, components without one fill what the
 splits lack, and a batch that would merge components of different splits has its rows quarantined.
+``present_table`` makes the table of rows that have splits already; ties which these break stand in it as quarantined components.
 """
 
 from __future__ import annotations
@@ -30,11 +32,45 @@ DEAL_BUCKETS = 4096
 LARGE = 1 / 1024
 
 
+#: Split of components whose rows lie in different splits, and of rows that would join such ones.
+QUARANTINE = "quarantine"
+
+
 class State(NamedTuple):
-    """keys: ka, kb, component. components: component, split, n."""
+    """keys: ka, kb, component. components: component, split, n. members: id, component of tied rows, quarantined batches left out.
+
+    A component is named by its smallest row id; a row that nothing ties is a component of its own and no member.
+    """
 
     keys: DataFrame
     components: DataFrame
+    members: DataFrame
+
+
+def _generations(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the generations under ``path`` whose last table is whole."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(root)]
+    return sorted(int(n) for n in names if n.isdigit() and files.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/{State._fields[-1]}/_SUCCESS")))
+
+
+def save(state: State, path: str) -> State:
+    """Writes the table as the next generation under ``path``, in a folder that all executors share, and returns it as read from there."""
+    spark = state.keys.sparkSession
+    n = max(_generations(spark, path), default=-1) + 1
+    for name, df in state._asdict().items():
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{n}/{name}")
+    return open_state(spark, path)
+
+
+def open_state(spark: SparkSession, path: str) -> State | None:
+    """The last whole generation under ``path``; None where there is none."""
+    found = _generations(spark, path)
+    return State(*(spark.read.parquet(f"{path}/{found[-1]}/{name}") for name in State._fields)) if found else None
 
 
 def split_name(c: Column) -> Column:
@@ -106,24 +142,34 @@ def link(df: DataFrame, id_col: str, spelled: list[str], named: list[str], scrat
     return carried.unionAll(stars).where("u <> v"), hubs.where("nth = 1").select("ka", "kb", "hub")
 
 
-def tied_groups(df: DataFrame, id_col: str, spelled: list[str], named: list[str], scratch: Scratch | None = None) -> DataFrame:
-    """(id, group_id) of every row that is tied to another one; group_id is the smallest id of the group.
+def _named(hubs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(ka, kb, component) of each key."""
+    return hubs.join(roots, F.col("hub") == F.col("node"), "left").select("ka", "kb", F.coalesce("root", "hub").alias("component"))
 
-    Nulls, blanks and words for "missing" tie nothing, rows with a null id are left out, repeated ids are one row.
-    """
-    scratch = scratch or Scratch(df.sparkSession, "ties")
-    edges, _ = link(df, id_col, spelled, named, scratch)
-    return connected_components(edges, scratch=scratch).select(F.col("node").alias("id"), F.col("root").alias("group_id"))
 
+def present_table(df: DataFrame, id_col: str, split_col: str, spelled: list[str], named: list[str], path: str | None = None, alone: bool = True) -> State:
+    """The component table, saved under ``path``, of rows that have splits.
 
-def broken_ties(df: DataFrame, id_col: str, split_col: str, spelled: list[str], named: list[str]) -> DataFrame:
-    """(group_row_id, row_id): every row of each tied group that lies in more than one split; a null split is none."""
-    scratch = Scratch(df.sparkSession, "broken")
-    groups = tied_groups(df, id_col, spelled, named, scratch)
+    A component's split is that of its rows, ``quarantine`` where they lie in more than one, null where none has any. Without ``alone``
+    rows that nothing ties are no components. Nulls, blanks and words for "missing" tie nothing, rows with a
+    null id are left out, repeated ids are one row with all their splits.
+    """
+    scratch = Scratch(df.sparkSession, "components")
+    edges, hubs = link(df, id_col, spelled, named, scratch)
+    roots = scratch.write(connected_components(edges, scratch=scratch), "roots")
+    members = roots.select(F.col("node").alias("id"), F.col("root").alias("component"))
     rows = df.select(F.col(id_col).cast("long").alias("id"), split_name(F.col(split_col)).alias("split")).where("id is not null")
-    placed = scratch.write(rows.join(groups, "id"), "placed")
-    mixed = placed.groupBy("group_id").agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a < b").select("group_id")
-    return placed.join(mixed, "group_id").select(F.col("group_id").alias("group_row_id"), F.col("id").alias("row_id")).distinct()
+    rows = rows.join(members, "id", "left" if alone else "inner").select("id", F.coalesce("component", "id").alias("component"), "split")
+    split = F.when(F.min("split") == F.max("split"), F.min("split")).when(F.min("split").isNotNull(), QUARANTINE)
+    components = rows.groupBy("component").agg(split.alias("split"), F.count("*").alias("n"))
+    return save(State(_named(hubs, roots), components, members), path or f"{scratch.root}/table")
+
+
+def broken_ties(df: DataFrame, id_col: str, split_col: str, spelled: list[str], named: list[str], path: str | None = None) -> DataFrame:
+    """(group_row_id, row_id): every row of each tied group that lies in more than one split, from the component table; a null split is none."""
+    state = present_table(df, id_col, split_col, spelled, named, path, alone=False)
+    torn = state.components.where(F.col("split") == QUARANTINE).select("component")
+    return state.members.join(torn, "component").select(F.col("component").alias("group_row_id"), F.col("id").alias("row_id"))
 
 
 def _deal(spark: SparkSession, fresh: DataFrame, held: Mapping[str, int], shares: Mapping[str, float], seed: int, total: int) -> Column:
@@ -163,9 +209,9 @@ def _deal(spark: SparkSession, fresh: DataFrame, held: Mapping[str, int], shares
 
 
 def assign_splits(df: DataFrame, id_col: str, spelled: list[str], named: list[str], shares: Mapping[str, float], seed: int = 17, state: State | None = None) -> tuple[DataFrame, State]:
-    """(row_id, group_row_id, split) of each row, and the state for the next batch.
+    """(row_id, group_row_id, split, outcome) of each row, and the state for the next batch.
 
-    split is one of ``shares`` or ``quarantine``, for rows whose group would join components of
+    outcome: kept (the split of an existing component), filled (a new one) or quarantined. split is one of ``shares`` or ``quarantine``, for rows whose group would join components of
     different splits; those components keep their split and the rows are not added to them. Rows
     that nothing ties are groups of their own. Null ids are left out; an empty batch changes
     nothing. Shares need not sum to one.
@@ -186,18 +232,23 @@ def assign_splits(df: DataFrame, id_col: str, spelled: list[str], named: list[st
     both = sizes.join(merged, "component", "full").select("component", F.coalesce("n", F.lit(0)).alias("n"), "old", "other", F.coalesce("m", F.lit(0)).alias("m"))
     bucket = F.pmod(F.xxhash64(F.lit(seed), "component"), F.lit(DEAL_BUCKETS))
     both = scratch.write(both.withColumn("bucket", bucket), "sizes")
+    both = both.withColumn("n", F.when(F.col("old").isNull(), F.col("n") + F.col("m")).otherwise(F.col("n")))
     held = {r.old: int(r.n) for r in both.where("old = other").groupBy("old").agg(F.sum(F.col("n") + F.col("m")).alias("n")).collect()}
     total = sum(held.values()) + int(both.where("old is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     fresh = both.where("old is null")
-    split = F.when(F.col("old") != F.col("other"), "quarantine").when(F.col("old").isNotNull(), F.col("old")).otherwise(_deal(spark, fresh, held, shares, seed, total))
-    decided = scratch.write(both.select("component", split.alias("split"), (F.col("n") + F.col("m")).alias("n"), (F.col("old").isNotNull() & (F.col("old") != F.col("other"))).alias("torn")), "decided")
-    out = rows.join(decided, F.col("root") == F.col("component")).select(F.col("node").alias("row_id"), F.col("root").alias("group_row_id"), "split")
+    split = F.when(F.col("old") != F.col("other"), QUARANTINE).when(F.col("old").isNotNull(), F.col("old")).otherwise(_deal(spark, fresh, held, shares, seed, total))
+    decided = scratch.write(both.select("component", split.alias("split"), F.when(split == QUARANTINE, "quarantined").when(F.col("old").isNotNull(), "kept").otherwise("filled").alias("outcome"), (F.col("n") + F.when(F.col("old").isNotNull(), F.col("m")).otherwise(0)).alias("n"), (F.col("old").isNotNull() & (F.col("old") != F.col("other"))).alias("torn")), "decided")
+    out = rows.join(decided, F.col("root") == F.col("component")).select(F.col("node").alias("row_id"), F.col("root").alias("group_row_id"), "split", "outcome")
 
-    joined = hubs.join(roots, F.col("hub") == F.col("node"), "left").select("ka", "kb", F.coalesce("root", "hub").alias("component"))
-    kept = joined.join(decided.where("not torn").select("component"), "component", "left_semi").select("ka", "kb", "component")
+    kept = _named(hubs, roots).join(decided.where("not torn").select("component"), "component", "left_semi").select("ka", "kb", "component")
     components = decided.where("not torn").select("component", "split", "n")
+    members = roots.select(F.col("node").alias("id"), F.col("root").alias("component")).join(decided.where("not torn").select("component"), "component", "left_semi").select("id", "component")
     if state:
         torn = old.join(decided.where("torn").select("component"), "component", "left_semi").select(F.col("node").alias("component"), F.col("old").alias("split"), F.col("m").alias("n"))
         components = components.unionAll(torn)
         kept = kept.unionAll(state.keys.join(torn.select("component"), "component", "left_semi").select("ka", "kb", "component"))
-    return out, State(scratch.write(kept, "state-keys"), scratch.write(components, "state-components"))
+        # members of a component that was merged follow it to its new name; those of one that would be torn stay
+        moved = roots.join(decided.where("not torn").select(F.col("component").alias("root")), "root", "left_semi").select(F.col("node").alias("component"), "root")
+        before = state.members.join(moved, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+        members = members.unionAll(before).distinct()
+    return out, State(scratch.write(kept, "state-keys"), scratch.write(components, "state-components"), scratch.write(members, "state-members"))
