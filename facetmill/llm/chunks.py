@@ -2,7 +2,8 @@
 
 A rolling hash over WINDOW bytes runs through each string; a cut lies where the hash is the smallest
 within REACH positions on either side. So cuts depend on nearby content only: an edit moves the
-cuts around it and leaves the rest alone. Chunks are longer than REACH, save at the ends.
+cuts around it and leaves the rest alone. Chunks are longer than REACH, save at the ends. With ``most`` longer stretches without
+a cut, as periodic strings have, are cut every ``most`` bytes from their begin on.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def _rolling(data: np.ndarray, window: int) -> np.ndarray:
     return h ^ (h >> np.uint32(13))
 
 
-def cut_chunks(texts: list[bytes], window: int = WINDOW, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cut_chunks(texts: list[bytes], window: int = WINDOW, reach: int = REACH, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, length, digest) of every chunk, in order; an empty text has no chunk."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     total = int(sizes.sum())
@@ -55,6 +56,12 @@ def cut_chunks(texts: list[bytes], window: int = WINDOW, reach: int = REACH) ->
     cut[starts] = True
     bounds = np.flatnonzero(cut)
     length = np.diff(bounds, append=total)
+    long = np.flatnonzero(length > most) if most else ()
+    if len(long):
+        many = (length[long] - 1) // most
+        cut[np.repeat(bounds[long], many) + most * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + 1)] = True
+        bounds = np.flatnonzero(cut)
+        length = np.diff(bounds, append=total)
     text = filled[np.searchsorted(ends, bounds, side="right")]
     within = np.arange(total) - np.repeat(bounds, length)
     powers = np.multiply.accumulate(np.full(int(length.max()), np.uint64(0x9E3779B97F4A7C15)))

@@ -40,8 +40,10 @@ LEAST_JACCARD = 0.7
 LEAST_SHARE = 0.44
 FEW_RUNS, FEWEST_RUNS = 72, 32
 #: Bits that tell which chunks occur in train and which elsewhere, and parts in which they and the counters are merged.
-SEEN = 1 << 26
+SEEN = 1 << 25
 SEGMENTS = 16
+#: Longest chunk.
+MOST = 32
 #: Records whose chunks are cut at a time, and records of train that meet one salted copy of an evaluation posting.
 CUT = 5_000
 SALTED = 20_000
@@ -272,13 +274,13 @@ def _spot(digest: np.ndarray, parts: int) -> np.ndarray:
     return (digest.view(np.uint64) >> np.uint64(20)).astype(np.int64) % parts
 
 
-def weighed_chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, weight, digest) of the distinct chunks of each text."""
-    owner, length, digest = cut_chunks([t.encode() for t in texts])
+def weighed_chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, weight, digest) of the distinct chunks of each text; then the texts with a chunk that comes again or has no end of its own."""
+    owner, length, digest = cut_chunks([t.encode() for t in texts], most=MOST)
     order = np.lexsort((digest, owner))
     owner, length, digest = owner[order], length[order], digest[order].view(np.int64)
     fresh = np.r_[True, (owner[1:] != owner[:-1]) | (digest[1:] != digest[:-1])][: len(owner)]
-    return owner[fresh], length[fresh], digest[fresh]
+    return owner[fresh], length[fresh], digest[fresh], owner[~fresh | (length >= MOST)]
 
 
 def distinct_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -289,12 +291,16 @@ def distinct_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return both >> (7 * RUN), both & ((1 << (7 * RUN)) - 1)
 
 
-def weighed_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, weight 1, digest) of the distinct runs of each text that has at most FEWEST_RUNS."""
-    few = [i for i, t in enumerate(texts) if len(t) < FEWEST_RUNS + RUN]
+def weighed_runs(texts: list[str], again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, weight 1, digest) of the distinct runs of each text with at most FEWEST_RUNS, which is short or one of ``again``."""
+    short = np.fromiter((len(t) < FEWEST_RUNS + RUN for t in texts), bool, len(texts))
+    short[again] = True
+    few = np.flatnonzero(short)
     text, run = distinct_runs([texts[i] for i in few])
+    kept = np.bincount(text, minlength=len(few))[text] <= FEWEST_RUNS
+    text, run = text[kept], run[kept]
     coded = (run.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    return np.array(few, np.int64)[text], np.ones(len(text), np.int64), ((coded ^ (coded >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+    return few[text], np.ones(len(text), np.int64), ((coded ^ (coded >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
 def posted(texts: list[str], costs: Costs, least: float, share: float = LEAST_SHARE) -> Postings:
@@ -304,7 +310,8 @@ def posted(texts: list[str], costs: Costs, least: float, share: float = LEAST_SH
     odd = np.bincount(text * POSTED_PARITY + _hashed(run, POSTED_PARITY), minlength=len(texts) * POSTED_PARITY) & 1
     parity = np.packbits(odd.astype(np.uint8).reshape(-1, POSTED_PARITY), axis=1).view(np.int64)
     out = []
-    for (text, weight, digest), part in ((weighed_chunks(texts), np.where(runs <= FEW_RUNS, 0.0, share)), (weighed_runs(texts), np.full(len(texts), least))):
+    *chunks, again = weighed_chunks(texts)
+    for (text, weight, digest), part in ((chunks, np.where(runs <= FEW_RUNS, 0.0, share)), (weighed_runs(texts, again), np.full(len(texts), least))):
         price = costs.price(digest)
         order = np.lexsort((digest, price, text))
         text, weight, digest, price = text[order], weight[order], digest[order], price[order]
@@ -336,8 +343,9 @@ def posting_costs(found: DataFrame) -> Costs:
             for i in range(0, b.num_rows, CUT):
                 texts, *sides = (b.column(c).slice(i, CUT) for c in range(3))
                 texts = texts.to_pylist()
-                for text, _, digest in (weighed_chunks(texts), weighed_runs(texts)):
-                    for k, side in enumerate(sides):
+                *chunks, again = weighed_chunks(texts)
+                for text, _, digest in (chunks, weighed_runs(texts, again)):
+                    for k, side in enumerate(sides if len(text) else ()):
                         own = digest[side.to_numpy(zero_copy_only=False)[text]]
                         total[k] += np.bincount(_spot(own, COUNTERS), minlength=COUNTERS).astype(np.uint32)
                         at = _spot(own, SEEN)
@@ -439,7 +447,7 @@ def verify(pairs: DataFrame, least: float) -> DataFrame:
                 at = at[[p[i] != q[i] for i in at]] if len(at) else at
                 of_t, of_e = [], []
                 for i in at:
-                    text, length, digest = cut_chunks([p[i].encode(), q[i].encode()])
+                    text, length, digest = cut_chunks([p[i].encode(), q[i].encode()], most=MOST)
                     a, c = (dict(zip(digest[text == s].tolist(), length[text == s].tolist())) for s in (0, 1))
                     shared = sum(n for d, n in a.items() if d in c)
                     of_t.append(shared / sum(a.values()))
