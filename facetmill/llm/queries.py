@@ -13,6 +13,8 @@ from facetmill.sources.tables import table
 
 PROTEINS = ("BRD4", "HSA", "sEH")
 SHARES = {"train": 0.8, "val": 0.1, "test": 0.1}
+#: Molecules ingested from here on are a later batch.
+LATER = "2024-06-01"
 FREQUENT = 1 / 200
 TOP = 50
 NEAREST = 3
@@ -44,6 +46,11 @@ def p1_sample(spark: SparkSession, root: str) -> DataFrame:
     return drawn.select("plan_id", F.col("category").alias("protein_name"), F.col("label").alias("binds"), "id")
 
 
+def p1_quotas(spark: SparkSession, root: str) -> DataFrame:
+    """Of every cell of every plan its target, what is there, the quota drawn, what it lacks, and the shares wanted and reached."""
+    return _plan_report(spark, root)[1].withColumnsRenamed({"category": "protein_name", "label": "binds"})
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """The smallest row of each group of same records with each other row of it."""
     found = collapse.collapse(_molecules(spark, root), "row_id", "molecule_smiles", least=2)
@@ -99,7 +106,23 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p5_assign(spark: SparkSession, root: str) -> DataFrame:
     """A split for every row, the same for all tied rows."""
-    return group_split.assign_splits(_molecules(spark, root), "row_id", ["molecule_smiles"], ["scaffold", "lot_code"], SHARES)[0]
+    return group_split.assign_splits(_molecules(spark, root), "row_id", ["molecule_smiles"], ["scaffold", "lot_code"], SHARES)[0].drop("outcome")
+
+
+def p5_batches(spark: SparkSession, root: str) -> DataFrame:
+    """The split of each row ingested from LATER on, against the saved table of the rows before, which have splits.
+
+    outcome: kept (an existing component's split), filled (a new component) or quarantined.
+    """
+    rows = _molecules(spark, root)
+    later = F.coalesce(F.col("ingested_at") >= F.lit(LATER).cast("timestamp"), F.lit(False))
+    ties = ["molecule_smiles"], ["scaffold", "lot_code"]
+    path = f"{Scratch(spark, 'table').root}/components"
+    group_split.present_table(rows.where(~later), "row_id", "split", *ties, path)
+    state = group_split.open_state(spark, path)
+    out, after = group_split.assign_splits(rows.where(later), "row_id", *ties, SHARES, state=state)
+    group_split.save(after, path)
+    return out
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
@@ -174,12 +197,12 @@ def p9_mix(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
-    """Pages more than half of whose words are keywords, links, menus or tags in a row."""
-    return spam.spam_ids(table(spark, root, "documents"), "doc_id", "text", "lang")
+    """Pages whose word frequencies are no prose: keywords, links, menus or tags in a row."""
+    return spam.spam_pages(table(spark, root, "documents"), "doc_id", "text", "lang").select("doc_id").distinct()
 
 
 def p10_pages(spark: SparkSession, root: str) -> DataFrame:
-    """The same pages with the share of such words and the fit of their rank-frequency curve."""
+    """The same pages with the fit of their rank-frequency curve and their distances from prose."""
     return spam.spam_pages(table(spark, root, "documents"), "doc_id", "text", "lang")
 
 
@@ -194,7 +217,7 @@ _SQUEEZE = r"""regexp_replace(molecule_smiles, '[\s\x{85}\x{a0}\x{1680}\x{180e}\
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_sample, p2_found, p2_records, p3_found, p3_containers, p4_found, p4_report, p4_classes, p5_found, p5_assign, p6_found, p6_top, p7_found, p7_neighbours, p8_found, p8_leaks, p9_found, p9_shares, p9_mix, p10_found, p10_pages)
+    named = (p1_found, p1_quotas, p1_sample, p2_found, p2_records, p3_found, p3_containers, p4_found, p4_report, p4_classes, p5_found, p5_assign, p5_batches, p6_found, p6_top, p7_found, p7_neighbours, p8_found, p8_leaks, p9_found, p9_shares, p9_mix, p10_found, p10_pages)
     return {f.__name__: f for f in named}
 
 
