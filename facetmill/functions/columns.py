@@ -121,3 +121,24 @@ def learning_rate_factor(epoch: Column, warmup: int, total: int, lowest: float)
     up = (epoch + 1) / warmup
     down = 1 - (1 - lowest) * (epoch - warmup) / max(1, total - warmup)
     return F.when(epoch < warmup, up).otherwise(F.greatest(down, F.lit(lowest)))
+
+
+def hashed_uniform(key: Column, seed: int) -> Column:
+    """A number in (0, 1) that depends on the key and the seed only: the same on every engine and in every partition."""
+    return (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string"))), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+
+
+def hashed_normal(key: Column, seed: int) -> Column:
+    """A standard normal number from two hashed uniform ones."""
+    return F.sqrt(-2 * F.ln(hashed_uniform(key, seed))) * F.cos(2 * math.pi * hashed_uniform(key, seed + 1))
+
+
+def one_hot_labels(category: Column, label: Column, categories: Sequence[str]) -> Column:
+    """The label at the place of its category, 0 elsewhere."""
+    return F.array(*(F.when(category == c, label).otherwise(0).cast("int") for c in categories))
+
+
+def shingle_bits(text: Column, size: int = 6, width: int = 2048) -> Column:
+    """Sorted set bits of a text's runs of ``size`` characters, hashed to ``width``; a shorter text sets the bit of itself."""
+    run = lambda k: F.conv(F.substring(F.md5(F.substr(text, k, F.lit(size))), 1, 6), 16, 10).cast("int") % width
+    return F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (size - 1), F.lit(1))), run)))

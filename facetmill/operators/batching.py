@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,25 +29,20 @@ def token_buckets(df: DataFrame, order: str, nodes: str, edges: str, most_nodes:
 
     The packing is sequential within a shard; shards of a hash of the order column pack side by side, each with one open batch at its end.
     """
-    shard = F.pmod(F.xxhash64(order), F.lit(shards)).cast("int")
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, batch, held, n, e = [], 0, [], 0, 0
-        for at, a, b in pdf.sort_values("at")[["at", "n", "e"]].itertuples(index=False):
-            if n + a > most_nodes or e + b > most_edges or len(held) + 1 > most_rows:
-                if held:
-                    out += [(batch, x) for x in held]
-                    batch += 1
-                held, n, e = [], 0, 0
-                if a > most_nodes or b > most_edges:
-                    out.append((batch, at))
-                    batch += 1
-                    continue
-            held.append(at)
-            n, e = n + a, e + b
-        if held and not drop_last:
-            out += [(batch, x) for x in held]
-        return pd.DataFrame({"shard": pdf["shard"].iloc[0], "batch": [b for b, _ in out], "at": [x for _, x in out]})
+        pdf = pdf.sort_values("at")
+        n, e = (np.r_[0, pdf[c].to_numpy().cumsum()] for c in ("n", "e"))
+        # a batch that begins at a row ends before the first one at which a running sum or the number of rows breaks its cap
+        ends = np.minimum(np.minimum(np.searchsorted(n, n[:-1] + most_nodes, "right"), np.searchsorted(e, e[:-1] + most_edges, "right")) - 1, np.arange(len(pdf)) + most_rows)
+        starts, at = [], 0
+        while at < len(pdf):
+            starts.append(at)
+            at = max(at + 1, int(ends[at]))
+        last = len(starts)
+        batch = np.searchsorted(starts, np.arange(len(pdf)), "right") - 1
+        if drop_last and last and ends[starts[-1]] > starts[-1]:
+            pdf, batch = pdf[batch < last - 1], batch[batch < last - 1]
+        return pd.DataFrame({"shard": pdf["shard"], "batch": batch, "at": pdf["at"]})
 
     rows = df.select(F.col(order).cast("bigint").alias("at"), F.col(nodes).cast("bigint").alias("n"), F.col(edges).cast("bigint").alias("e")).withColumn("shard", F.pmod(F.xxhash64("at"), F.lit(shards)).cast("int"))
     return rows.groupBy("shard").applyInPandas(run, "shard int, batch bigint, at bigint").withColumnRenamed("at", order)
@@ -61,3 +57,15 @@ def pack_offsets(df: DataFrame, pack: str, order: str, size: str) -> DataFrame:
     """(pack, order, offset): exclusive running sum of sizes within a pack, which is bounded by its cap."""
     w = Window.partitionBy(pack).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return df.select(pack, order, F.coalesce(F.sum(size).over(w), F.lit(0)).cast("bigint").alias("offset"))
+
+
+def micro_batches(packed: DataFrame, order: str, packs: int) -> DataFrame:
+    """``packed`` (shard, batch, order) with ``micro``, ``packs`` neighbouring batches of a shard together."""
+    return packed.select("shard", "batch", order, F.floor(F.col("batch") / packs).cast("bigint").alias("micro"))
+
+
+def collated(packed: DataFrame, sizes: DataFrame, order: str, nodes: str, edges: str) -> DataFrame:
+    """(shard, batch, order, node_offset, edge_offset): where each graph's nodes and edges begin in its batch."""
+    w = Window.partitionBy("shard", "batch").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c, name: F.coalesce(F.sum(c).over(w), F.lit(0)).cast("bigint").alias(name)
+    return packed.join(sizes, order).select("shard", "batch", order, before(nodes, "node_offset"), before(edges, "edge_offset"))

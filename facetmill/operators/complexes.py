@@ -52,12 +52,16 @@ def degrees(edges: DataFrame, nodes: DataFrame | None = None, most: int | None =
 
 
 def normalised_laplacian(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(g, u, v, w): non-zero entries of the symmetric normalised Laplacian; an isolated node has the identity row."""
-    two = both_directions(edges)
-    d = degrees(two)
-    of_v = d.select("g", F.col("u").alias("v"), F.col("degree").alias("dv"))
-    off = two.join(d, ["g", "u"]).join(of_v, ["g", "v"]).select("g", "u", "v", (-1 / F.sqrt(F.col("degree") * F.col("dv"))).alias("w"))
-    ends = (nodes if nodes is not None else d.select("g", "u")).distinct()
+    """(g, u, v, w): non-zero entries of the symmetric normalised Laplacian; an isolated node has the identity row.
+
+    Degrees are counted once per (g, u); each edge looks up its far end's by one join.
+    """
+    d = degrees(both_directions(edges))
+    one = undirected_edges(edges)
+    of = lambda end, name: d.select("g", F.col("u").alias(end), F.col("degree").alias(name))
+    half = one.join(of("u", "du"), ["g", "u"]).join(of("v", "dv"), ["g", "v"]).select("g", "u", "v", (-1 / F.sqrt(F.col("du") * F.col("dv"))).alias("w"))
+    off = half.select("g", F.inline(F.array(F.struct("u", "v", "w"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "w"))))
+    ends = nodes.select("g", "u").distinct() if nodes is not None else d.select("g", "u")
     return off.unionAll(ends.select("g", "u", F.col("u").alias("v"), F.lit(1.0).alias("w")))
 
 
@@ -82,3 +86,19 @@ def numbered_edges(edges: DataFrame) -> DataFrame:
     b = (F.row_number().over(Window.partitionBy("g").orderBy("u", "v")) - 1).cast("bigint")
     one = undirected_edges(edges).withColumn("b", b)
     return one.select("g", (F.col("b") * 2).alias("edge"), "u", "v").unionAll(one.select("g", (F.col("b") * 2 + 1).alias("edge"), F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def face_graph(incidence: DataFrame, face: str, position: str, graph: str) -> DataFrame:
+    """(face, graph): the graph of a face, that of its first edge by position."""
+    return incidence.groupBy(face).agg(F.min_by(graph, position).alias(graph))
+
+
+def padded_pairs(hops: DataFrame, width: int, fill: int = -1) -> DataFrame:
+    """(g, i, j, d, real): the pairs of each graph on a square of ``width`` places, places without a node filled.
+
+    hops is (g, u, v, d) with nodes from 0 on; nodes at or beyond ``width`` are left out.
+    """
+    side = F.sequence(F.lit(0), F.lit(width - 1))
+    square = hops.select("g").distinct().withColumn("i", F.explode(side)).withColumn("j", F.explode(side)).select("g", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"))
+    own = hops.select("g", F.col("u").alias("i"), F.col("v").alias("j"), F.col("d").cast("bigint").alias("d"))
+    return square.join(own, ["g", "i", "j"], "left").select("g", "i", "j", F.coalesce("d", F.lit(fill).cast("bigint")).alias("d"), F.col("d").isNotNull().alias("real"))

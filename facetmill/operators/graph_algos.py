@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from facetmill.sources.scratch import Scratch, one_thread_a_task
 
 
-def hops_by_frontier(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(g, u, v, d): hops along the edges as given, for all reachable pairs of different nodes, up to ``most``.
+def hops_by_frontier(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(g, u, v, d): hops along the edges as given, for all reachable pairs of different nodes, or those up to ``most`` hops.
 
     Each round joins the newest pairs with the edges and keeps pairs not seen; pairs are written, so lineage stays short.
     """
@@ -23,7 +23,9 @@ def hops_by_frontier(edges: DataFrame, most: int = 64) -> DataFrame:
     step = scratch.write(edges.where("u <> v").select("g", "u", "v").distinct(), "edges")
     found = step.withColumn("d", F.lit(1))
     front, onward = step, step.select("g", F.col("u").alias("v"), F.col("v").alias("w"))
-    for d in range(2, most + 1):
+    d = 1
+    while most is None or d < most:
+        d += 1
         reached = front.join(onward, ["g", "v"]).select("g", "u", F.col("w").alias("v")).where("u <> v").distinct()
         front = scratch.write(reached.join(found, ["g", "u", "v"], "left_anti"), f"front{d}")
         if front.limit(1).count() == 0:
@@ -82,6 +84,18 @@ def returns_by_join(edges: DataFrame, steps: int = 3, space_dim: int = 0) -> Dat
     return found
 
 
+def skeleton_hops(links: DataFrame, cells: str = "n:") -> DataFrame:
+    """(g, u, v, d): hops between cells of one kind, nodes unless said otherwise, along the barycentric skeleton; "" takes all cells."""
+    two = links.select("g", F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select("g", F.col("b").alias("u"), F.col("a").alias("v")))
+    return hops_by_frontier(two).where(F.col("u").startswith(cells) & F.col("v").startswith(cells))
+
+
+def skeleton_returns(links: DataFrame, steps: int = 3, space_dim: int = 0) -> DataFrame:
+    """(g, cell, k, p): the chance of a walk along the skeleton from each cell to be back after k steps; every cell of a link has a way on."""
+    two = links.select("g", F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select("g", F.col("b").alias("u"), F.col("a").alias("v")))
+    return returns_by_join(two, steps, space_dim).withColumnRenamed("u", "cell")
+
+
 def returns_by_graph(edges: DataFrame, steps: int = 16, space_dim: int = 0, dangling_stays: bool = True) -> DataFrame:
     """(g, u, p): array of the chances to be back after 1 to ``steps`` steps, for small graphs.
 

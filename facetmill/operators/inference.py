@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from facetmill.sources.scratch import one_thread_a_task
 
@@ -123,3 +124,13 @@ def nested_forward(found: DataFrame, block: Block) -> DataFrame:
             yield pd.DataFrame(rows, columns=["g", "embedding", "logit"])
 
     return one_thread_a_task(found).select("g", "atoms", "bonds").mapInPandas(run, "g bigint, embedding array<double>, logit double")
+
+
+def embedding_sums(codes: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys.., dim, value): the sum over an item's code fields of their embedding vectors.
+
+    codes is (keys.., field, code), table is (field, code, vector). The table has one row for each code of a vocabulary; it is broadcast only
+    by Spark's own size limit. A code without a row adds nothing.
+    """
+    held = codes.join(table, ["field", "code"]).select(*keys, F.posexplode("vector").alias("dim", "x"))
+    return held.groupBy(*keys, "dim").agg(F.sum("x").alias("value"))

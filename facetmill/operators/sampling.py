@@ -41,6 +41,30 @@ def gather(df: DataFrame, key: str, ids: DataFrame, id_col: str, at: str) -> Dat
     return ids.select(F.col(id_col).alias(key), at).join(df, key)
 
 
+def checked_gather(df: DataFrame, index: str, ids: DataFrame, id_col: str, at: str) -> DataFrame:
+    """``gather`` by position; raises where the list is empty, longer than the table, or names a position outside of it."""
+    total = df.count()
+    seen = ids.agg(F.count("*").alias("n"), F.min(id_col).alias("low"), F.max(id_col).alias("high")).first()
+    if not seen.n:
+        raise ValueError("the list of positions is empty")
+    if seen.n > total:
+        raise ValueError(f"{seen.n} positions for {total} rows")
+    if seen.low < 0 or seen.high >= total:
+        raise ValueError(f"positions {seen.low} to {seen.high} for {total} rows")
+    return gather(df, index, ids, id_col, at)
+
+
+def kept_keys(df: DataFrame, key: str, dropped: str) -> DataFrame:
+    """Rows whose key does not match a pattern; a null key is kept."""
+    return df.where(~F.coalesce(F.col(key).rlike(dropped), F.lit(False)))
+
+
+def sweep_grid(spark, variances: Sequence[int], sigmas: Sequence[float], alphas: Sequence[float]) -> DataFrame:
+    """(variance, sigma, alpha): the settings of a sweep, noise levels at alpha 1 and then alphas without noise."""
+    rows = [(v, s, 1.0) for v in variances for s in sigmas] + [(v, 0.0, a) for v in variances for a in alphas]
+    return spark.createDataFrame(rows, "variance int, sigma double, alpha double")
+
+
 def first_by_seed(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """Exactly ``n`` rows, uniform without replacement; all rows where there are fewer."""
     return df.orderBy(seeded_rank(key, seed), key).limit(n)

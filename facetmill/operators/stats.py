@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetmill.functions.columns import close, missing, quadrature
+from facetmill.functions.columns import close, hashed_normal, missing, quadrature
 
 
 def std_or_zero(c) -> Column:
@@ -86,3 +87,58 @@ def early_stopping(log: DataFrame, run: str, epoch: str, loss: str, patience: in
 
     out = log.groupBy(run).agg(F.aggregate(steps, start, fold).alias("f"))
     return out.select(run, F.col("f.at").alias("best_epoch"), F.col("f.best").alias("best_loss"), F.col("f.stop").alias("stop_epoch"))
+
+
+def first_non_finite(df: DataFrame, keys: Sequence[str], values: Sequence[str], most: int = 5) -> DataFrame:
+    """(keys.., name, value): the first ``most`` values, by keys and name, that are NaN or infinite."""
+    long = df.select(*keys, F.explode(F.array(*(F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("value")) for v in values))).alias("x")).select(*keys, "x.*")
+    bad = long.where(F.isnan("value") | (F.abs("value") == float("inf")))
+    return bad.distinct().orderBy(*keys, "name").limit(most)
+
+
+def require_finite(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """``df`` itself; raises with the first offenders where a value is NaN or infinite."""
+    bad = first_non_finite(df, keys, values).collect()
+    if bad:
+        raise ValueError("not finite: " + "; ".join(str(r.asDict()) for r in bad))
+    return df
+
+
+def epoch_means(log: DataFrame, epoch: str, batch: str, loss: str) -> DataFrame:
+    """(epoch, loss, n_batches): the mean over batches of each batch's mean loss."""
+    each = log.groupBy(epoch, batch).agg(F.avg(loss).alias("_m"))
+    return each.groupBy(epoch).agg(F.avg("_m").alias("loss"), F.count("*").alias("n_batches"))
+
+
+def noisy(df: DataFrame, key: str, value: str, sigma: float, seed: int) -> DataFrame:
+    """``df`` with ``sigma`` standard deviations of seeded normal noise added to a value; no noise at sigma 0."""
+    if sigma <= 0:
+        return df
+    spread = df.agg(F.greatest(F.stddev_samp(value), F.lit(1e-8)).alias("_s"))
+    # one row, by the aggregate
+    return df.join(F.broadcast(spread)).withColumn(value, F.col(value) + sigma * F.col("_s") * hashed_normal(F.col(key), seed)).drop("_s")
+
+
+def parameter_count(shapes: DataFrame, shape: str) -> DataFrame:
+    """(n_parameters): the sum over arrays of the product of their sizes; an empty shape is one number."""
+    return shapes.agg(F.coalesce(F.sum(F.aggregate(shape, F.lit(1).cast("bigint"), lambda a, b: a * b)), F.lit(0)).cast("bigint").alias("n_parameters"))
+
+
+def ridge_r2(df: DataFrame, inputs: Sequence[str], target: str, alpha: float = 1e-3) -> DataFrame:
+    """(r2, n): how much of the target a ridge regression on the standardised inputs explains; rows with a null or NaN take no part.
+
+    One aggregate gives all moments; the equations of a few inputs are solved from them.
+    """
+    names = [*inputs, target]
+    rows = df.select(*(missing(F.col(c).cast("double")).alias(c) for c in names)).dropna()
+    moments = rows.agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(names)), *(F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j >= i)).first()
+    k, n = len(inputs), moments["n"]
+    if not n:
+        return df.sparkSession.createDataFrame([(None, 0)], "r2 double, n bigint")
+    cov = np.array([[moments[f"c{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
+    scale = np.sqrt(np.diag(cov)[:k])
+    scale[scale == 0] = 1
+    xx, xy, yy = cov[:k, :k] / scale[:, None] / scale[None], cov[:k, k] / scale, cov[k, k]
+    w = np.linalg.solve(xx + alpha / n * np.eye(k), xy)
+    left = yy - 2 * w @ xy + w @ xx @ w
+    return df.sparkSession.createDataFrame([(float(1 - left / yy) if yy > 0 else 0.0, n)], "r2 double, n bigint")

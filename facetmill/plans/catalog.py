@@ -35,7 +35,7 @@ def load() -> None:
     """Imports the modules that register queries."""
     from importlib import import_module
 
-    for name in ("evaluation", "similarity", "graphs"):
+    for name in ("evaluation", "similarity", "graphs", "inputs"):
         import_module(f"facetmill.plans.{name}")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetmill.functions.columns import close, finite_array, with_sentinel
+from facetmill.functions.columns import close, finite_array, missing, with_sentinel
 from facetmill.operators import sampling, scoring, stats
 from facetmill.plans.catalog import register
 from facetmill.sources.tables import table
@@ -68,9 +68,9 @@ def sentinel_fill(spark, root):
     return m.select("row_id", *(with_sentinel(F.col(c)).alias(c) for c in LABELS), F.when(F.col("split").isin("test", ""), F.col("split_group")).alias("split_group"))
 
 
-@register("split_filter", "SELECT row_id, molecule_smiles, binds_brd4, binds_hsa, binds_seh FROM molecules WHERE split IN ('test', '')")
+@register("split_filter", "SELECT row_id, molecule_smiles, " + ", ".join(f"CASE WHEN NOT isnan({c}) THEN {c} END AS {c}" for c in LABELS) + " FROM molecules WHERE split IN ('test', '')")
 def split_filter(spark, root):
-    return sampling.split_filter(table(spark, root, "molecules"), "split", "test").select("row_id", "molecule_smiles", *LABELS)
+    return sampling.split_filter(table(spark, root, "molecules"), "split", "test").select("row_id", "molecule_smiles", *(missing(F.col(c)).alias(c) for c in LABELS))
 
 
 @register("chunk_assign", """WITH t AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS idx, count(*) OVER () AS n FROM molecules WHERE split = 'train')

@@ -72,7 +72,10 @@ def degree_clamped(spark, root):
     return complexes.degrees(complexes.both_directions(_orders(spark, root)), most=5)
 
 
-@register("norm_laplacian", f"WITH {_ORDERS}, {_TWO} SELECT w.g, w.u, w.v, round(-1 / sqrt(a.n * b.n), 9) AS w FROM w JOIN d a ON a.g = w.g AND a.u = w.u JOIN d b ON b.g = w.g AND b.u = w.v UNION ALL SELECT g, u, u, 1.0 FROM d")
+_HELD = "o AS MATERIALIZED (SELECT DISTINCT l_orderkey AS g, -1 - l_suppkey AS u, l_partkey AS v FROM lineitem), w AS MATERIALIZED (SELECT g, u, v, count(*) OVER (PARTITION BY g, u) AS n FROM (SELECT g, u, v FROM o UNION ALL SELECT g, v, u FROM o)), b AS MATERIALIZED (SELECT g, u AS v, v AS u, n AS m FROM w)"
+
+
+@register("norm_laplacian", f"WITH {_HELD} SELECT w.g, w.u, w.v, round(-1 / sqrt(w.n * b.m), 9) AS w FROM w JOIN b USING (g, u, v) UNION ALL SELECT DISTINCT g, u, u, 1.0::DOUBLE FROM w")
 def norm_laplacian(spark, root):
     return complexes.normalised_laplacian(_orders(spark, root)).withColumn("w", F.round("w", 9))
 
@@ -303,13 +306,6 @@ def sortish_order(spark, root):
     return batching.sortish_order(rows, "row_id", "size", 2048, 7)
 
 
-@register("token_bucket")
-def token_bucket(spark, root):
-    rows = table(spark, root, "molecules").where("row_id is not null").select("row_id", F.coalesce(F.length("molecule_smiles"), F.lit(0)).alias("n"))
-    shards = max(1, rows.count() // 50_000)
-    return batching.token_buckets(rows.withColumn("e", F.col("n") * 2), "row_id", "n", "e", 15_000, 40_000, 512, shards)
-
-
 @register("batch_estimate", "SELECT CAST(greatest(ceil(coalesce(sum(length(molecule_smiles)), 0) / 15000.0), 1) AS BIGINT) AS n_batches FROM molecules")
 def batch_estimate(spark, root):
     return batching.batch_estimate(table(spark, root, "molecules").select(F.length("molecule_smiles").alias("n")), "n", 15_000)

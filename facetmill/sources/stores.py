@@ -24,8 +24,10 @@ def read_shards(spark: SparkSession, paths: Sequence[str], seed: int | None = No
 
 
 def write_id_list(ids: DataFrame, column: str, path: str) -> None:
-    """A list of row ids as JSON lines with their positions."""
-    ids.select(F.monotonically_increasing_id().alias("at"), F.col(column).alias("id")).write.mode("overwrite").json(path)
+    """A list of row ids, in their order, as JSON lines with their positions from 0 on."""
+    from facetmill.operators.sampling import dense_index
+
+    dense_index(ids.select(F.col(column).alias("id")), "id").select(F.col("idx").alias("at"), "id").write.mode("overwrite").json(path)
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
@@ -40,7 +42,9 @@ ROW_LOG = "variance int, sigma double, alpha double, model_score double, model_s
 
 def read_row_log(spark: SparkSession, path: str) -> DataFrame:
     """A sweep log from a JSON array or JSON lines; NaN is allowed."""
-    return spark.read.schema(ROW_LOG).option("multiLine", True).option("allowNonNumericNumbers", True).json(path)
+    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    array = bool(first) and first[0].value.lstrip().startswith("[")
+    return spark.read.schema(ROW_LOG).option("multiLine", array).option("allowNonNumericNumbers", True).json(path)
 
 
 def write_row_log(df: DataFrame, path: str) -> None:
