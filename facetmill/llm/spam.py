@@ -5,7 +5,7 @@ against those of prose in the nearest language. In prose the n-th most frequent
 n ** -slope; keyword pages are flat or steep, lists bend, and all of them lack the words that hold sentences together. Slope,
 residual and divergence of a page are measured in spreads of those of prose of its language and length. A
 page is flagged when its divergence is extreme, or its slope or residual is and its divergence half as far out, and,
-as the problem asks for pages mainly of such lists, when no more than half of it stands in sentences.
+as the problem asks for pages mainly of such lists, when no more than MOST_PROSE of it stands in sentences.
 
 Prose is what mainly stands in sentences: stretches between full stops, question or exclamation marks without a break, bar, bullet or hash. So
 a corpus rich in spam doesn't make it the norm, as pages without sentences give no frequencies, centres or spreads.
@@ -31,9 +31,9 @@ from facetmill.sources.scratch import Scratch
 #: Hash buckets of the words of a language.
 WORD_BUCKETS = 1 << 14
 #: Least part of a page in sentences that makes it prose, and the most of it that a flagged page has.
-PROSE, MOST_PROSE = 0.6, 0.5
+PROSE, MOST_PROSE = 0.6, 0.4
 #: Spreads from the centre of prose that are extreme, and the least spread there is.
-EXTREME = 9.0
+EXTREME = 7.0
 LEAST_SPREAD = 0.15
 #: Pages of a length, of all languages, that weigh on the centre and spread of one language.
 SHARED = 50
