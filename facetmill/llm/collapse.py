@@ -28,6 +28,8 @@ from facetmill.sources.scratch import Scratch
 
 #: Rows whose copies are grouped together before anything is shuffled.
 BATCH_ROWS = 100_000
+#: Entries that a bucket's trie counts at most, save where they are all of one key.
+CAPACITY = 20_000
 #: An entry with more ids than this keeps them in the written table while it is counted.
 CARRIED_IDS = 64
 
@@ -67,11 +69,10 @@ def radix_plan(keys: DataFrame, column: str, capacity: int | None = None) -> lis
     """Sorted lower bounds of radix buckets over ``column``: each holds at most ``capacity`` keys, or one key only.
 
     The driver sees bucket counts, not keys: per round at most ``keys / capacity`` oversized
-    prefixes with one branch for each next byte. The default capacity gives 4,096 buckets, none
-    below 20,000 keys.
+    prefixes with one branch for each next byte. Buckets grow in number with the keys, never in size.
     """
     key = F.col(column)
-    capacity = capacity or max(20_000, keys.count() // 4096)
+    capacity = capacity or CAPACITY
     leaves: list[tuple[str, int]] = []
     wide = [("", 2)]
     while wide:
