@@ -26,7 +26,7 @@ CURVES = 12
 COORDINATES = 6
 #: Bits of a smallest rank; larger ranks count as the largest. A shift adds one bit.
 BITS = 7
-WINDOW = 16
+WINDOW = 40
 #: 64-bit words of a folded vector.
 FOLDED = 4
 #: Rows of one curve in a range, about.
