@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from facetmill.functions.spelling import plain_spelling
 
-_TOKEN = re.compile(r"(\[[^\[\]]+\]|Br|Cl|[BCNOFPSI]|[bcnops]|\*)|(%\d\d|\d)|([-=#$:/\\~])|([().])")
+TOKEN = re.compile(r"(\[[^\[\]]+\]|Br|Cl|[BCNOFPSI]|[bcnops]|\*)|(%\d\d|\d)|([-=#$:/\\~])|([().])")
 _SYMBOL = re.compile(r"\[\d*([A-Z][a-z]?|[a-z][a-z]?|\*)")
 
 
@@ -33,7 +33,7 @@ def read_line(text: str | None) -> tuple[list[str], list[tuple[int, int, str]],
     stack: list[int] = []
     last, bond, at = -1, "", 0
     while at < len(text):
-        m = _TOKEN.match(text, at)
+        m = TOKEN.match(text, at)
         if not m:
             return None
         atom, mark, link, sign = m.groups()

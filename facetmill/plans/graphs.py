@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from facetmill.functions import lines
 from facetmill.functions.columns import bucket_hops, electronegativity_code, gaussian_kernels, learning_rate_factor, recode_hops
-from facetmill.operators import attention, batching, complexes, graph_algos, inference, losses, messages
+from facetmill.operators import attention, batching, complexes, features, graph_algos, inference, losses, messages
 from facetmill.plans.catalog import register
 from facetmill.sources.tables import table
 
@@ -141,18 +141,34 @@ def molecule_unreadable(spark, root):
     return lines.unreadable(rows, lines.complexes(rows, "row_id", "molecule_smiles"), "row_id")
 
 
+def _coded(spark, root):
+    return features.coded_complexes(table(spark, root, "molecules", ["row_id", "molecule_smiles"]), "row_id", "molecule_smiles")
+
+
+@register("molecule_atoms")
+def molecule_atoms(spark, root):
+    return features.atom_table(_coded(spark, root)).withColumnRenamed("g", "row_id")
+
+
+@register("molecule_bonds")
+def molecule_bonds(spark, root):
+    return features.bond_table(_coded(spark, root)).withColumnRenamed("g", "row_id")
+
+
+@register("molecule_rings")
+def molecule_rings(spark, root):
+    return features.ring_table(_coded(spark, root)).withColumnRenamed("g", "row_id")
+
+
 @register("molecule_encodings")
 def molecule_encodings(spark, root):
-    found = lines.complexes(table(spark, root, "molecules"), "row_id", "molecule_smiles")
-    full = graph_algos.nested_encodings(_spread(found))
-    back = F.aggregate("returns", F.lit(0.0), lambda s, x: s + x) / F.size("returns")
-    return full.select(F.col("g").alias("row_id"), "n", "values", F.array_max("hops").alias("diameter"), F.round(back, 9).alias("mean_return"))
+    """Spectrum, vectors, walk returns and hops of every molecule's graph, whole."""
+    return features.encodings(_spread(_coded(spark, root))).withColumnRenamed("g", "row_id")
 
 
 @register("molecule_forward")
 def molecule_forward(spark, root):
-    found = lines.complexes(table(spark, root, "molecules"), "row_id", "molecule_smiles")
-    return inference.nested_forward(_spread(found), inference.Block()).withColumnRenamed("g", "row_id")
+    return features.forward(_spread(_coded(spark, root)), inference.Block()).withColumnRenamed("g", "row_id")
 
 
 def _spread(found):
