@@ -8,9 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from facetmill.functions import lines
+from facetmill.functions import codes, lines
 from facetmill.functions.columns import bucket_hops, code_of, electronegativity_code, recode_hops
-from facetmill.operators import batching, complexes, graph_algos, inference, losses, messages, sampling, scoring, setsim, stats
+from facetmill.operators import batching, complexes, features, graph_algos, inference, losses, messages, sampling, scoring, setsim, stats
 from facetmill.operators.components import connected_components
 from facetmill.plans import catalog
 from facetmill.plans.config import Config, parse
@@ -268,3 +268,114 @@ def test_query_against_sql(spark, name):
     assert sorted(names) == columns
     want = sorted((tuple(_plain(r[names.index(c)]) for c in columns) for r in rel.fetchall()), key=repr)
     assert sorted((tuple(_plain(r[c]) for c in columns) for r in got.collect()), key=repr) == want
+
+
+def test_codes_of_cells():
+    atoms, bonds, bond_codes, rings, ring_codes = codes.coded_cells("Cc1ccncc1[Dy]")
+    assert len(atoms) == 7 and len(bonds) == 7 and [len(r) for r in rings] == [6]
+    by = dict(zip(codes.ATOM_FIELDS, zip(*atoms)))
+    # methyl carbon, ring carbon with the methyl, ring nitrogen
+    assert by["number"] == (1, 1, 1, 1, 2, 1, 1) and by["implicit_hydrogens"] == (3, 0, 1, 1, 0, 1, 1) and by["aromatic"] == (0, 1, 1, 1, 1, 1, 1)
+    assert by["hybridisation"][:2] == (2, 1) and by["degree"] == (1, 3, 2, 2, 2, 2, 2)
+    assert bond_codes[0] == [0, 0, 0, 0] and bond_codes[1] == [3, 0, 1, 1]
+    # six members, aromatic, one hetero atom, not saturated, not fused, mean electronegativity 2.63
+    assert ring_codes == [[3, 1, 1, 0, 0, 3]]
+    assert codes.coded_cells("F/C=C/F")[2][1][:2] == [1, 1] and codes.coded_cells("F/C=C\\F")[2][1][:2] == [1, 2]
+    charged = dict(zip(codes.ATOM_FIELDS, codes.coded_cells("C[C@H](N)C(=O)[O-]")[0][5]))
+    assert charged["charge"] == 0 and charged["hydrogens"] == 0 and codes.coded_cells("C[C@H](N)O")[0][1][-1] == 1
+    assert [r[4] for r in codes.coded_cells("C1CC2CCC12")[4]] == [1, 1] and codes.coded_cells("C1CC1")[4][0][3] == 1
+    assert codes.coded_cells("[CH3]")[0][0][6] == 1 and codes.coded_cells("[Dy]") is None and codes.coded_cells("C(") is None and codes.coded_cells(None) is None
+    assert [codes.ring_electronegativity(x) for x in (2.4, 2.5, 2.525, 2.575, 2.96, 3.0)] == [11, 0, 0, 2, 9, 11]
+
+
+def test_features_against_dense(spark):
+    texts = [(1, "c1ccccc1"), (2, "C" * 90), (3, "CC.C"), (4, "C1CC2CCC12O"), (5, "C"), (6, "[Dy]"), (7, None), (None, "CC")]
+    found = features.coded_complexes(spark.createDataFrame(texts, "row_id long, s string"), "row_id", "s").cache()
+    assert {r.g: r.n for r in found.collect()} == {1: 6, 2: 90, 3: 3, 4: 7, 5: 1}
+    assert features.atom_table(found).count() == 107 and features.bond_table(found).count() == 6 + 89 + 1 + 8 and features.ring_table(found).count() == 3
+    for r in features.encodings(found).collect():
+        n, bonds = r.n, next(x.bonds for x in found.collect() if x.g == r.g)
+        a = np.zeros((n, n))
+        for u, v in zip(bonds[::2], bonds[1::2]):
+            a[u, v] = a[v, u] = 1
+        hops = np.array(r.hops).reshape(n, n)
+        total = a.sum(1, keepdims=True)
+        p = np.divide(a, total, out=np.eye(n), where=total > 0)
+        assert np.allclose(np.array(r.returns).reshape(n, 16)[:, 3], np.diag(np.linalg.matrix_power(p, 4)), atol=1e-9)
+        walks, seen = np.eye(n), np.where(np.eye(n) > 0, 0, -1)
+        for k in range(1, n):
+            walks = ((walks @ a) > 0).astype(float)
+            seen = np.where((seen < 0) & (walks > 0), k, seen)
+        assert (hops == seen).all()
+        assert r["values"][0] >= 0 and max(r["values"]) <= 1 + 1e-12
+    whole = {r.g: r.logits for r in features.forward(found, inference.Block()).collect()}
+    alone = {r.g: r.logits for r in features.forward(found.where("g = 4"), inference.Block()).collect()}
+    assert len(whole) == 5 and np.allclose(whole[4], alone[4]) and all(np.isfinite(x).all() for x in whole.values())
+
+
+def test_coface_messages():
+    """The message of a face to its edges: itself and the mean of the other edges, an edge without a face hears nothing."""
+    block = inference.Block(width=4, heads=2)
+    dice = np.random.default_rng(3)
+    x, e, f, g = (dice.normal(size=(k, 4)) for k in (3, 6, 1, 1))
+    u, v = np.array([0, 1, 2, 1, 2, 0]), np.array([1, 2, 0, 0, 1, 2])
+    args = (u, v, np.zeros(4, int), np.array([0, 1, 3, 4]), np.zeros(3, int), np.zeros(6, int), np.zeros(1, int))
+    _, e1, f1, g1 = features.message_layer(block, "a", x, e, f, g, *args)
+    held = e[[0, 1, 3, 4]].sum(0)
+    face = inference.mlp(block, "aface", np.concatenate([held, f[0], g[0]])[None])[0]
+    hears = np.concatenate([face, (held - e[1]) / 3])
+    want = inference.mlp(block, "aedge", np.concatenate([x[1], x[2], e[1], hears, g[0]])[None])[0]
+    assert np.allclose(e1[1], e[1] + want) and np.allclose(f1[0], f[0] + face)
+    lone = inference.mlp(block, "aedge", np.concatenate([x[2], x[0], e[2], np.zeros(8), g[0]])[None])[0]
+    assert np.allclose(e1[2], e[2] + lone)
+
+
+def test_skeleton_distances(edges, faces):
+    """Hops between nodes on the skeleton: two per edge, and two across a face."""
+    links = complexes.bary_skeleton(edges, faces)
+    d = {(r.g, r.u, r.v): r.d for r in graph_algos.skeleton_hops(links).collect()}
+    assert d[1, "n:0", "n:2"] == 4 and d[1, "n:0", "n:1"] == 2 and d[3, "n:0", "n:2"] == 2 and d[4, "n:0", "n:3"] == 4 and d[5, "n:1", "n:2"] == 4
+    assert (6, "n:0", "n:2") not in d and {x for k, x in d.items() if k[0] == 2} == {2}
+    back = {(r.g, r.cell, r.k): r.p for r in graph_algos.skeleton_returns(links, 2).collect()}
+    assert back[1, "n:0", 1] == 0 and math.isclose(back[1, "n:0", 2], 0.5) and math.isclose(back[6, "n:0", 2], 0.5)
+
+
+def test_hops_beyond_64(spark):
+    path = spark.createDataFrame([(1, i, i + 1) for i in range(70)], "g long, u long, v long")
+    assert {r.v: r.d for r in graph_algos.hops_by_frontier(path).where("u = 0").collect()} == {i: i for i in range(1, 71)}
+    assert graph_algos.hops_by_frontier(path, 3).agg(F.max("d")).first()[0] == 3
+
+
+def test_checks_and_guards(spark):
+    df = spark.range(5).select("id", F.col("id").alias("idx"))
+    ids = lambda *x: spark.createDataFrame([(v, i) for i, v in enumerate(x)], "at long, nth long")
+    assert [r.id for r in sampling.checked_gather(df, "idx", ids(3, 0, 3), "at", "nth").orderBy("nth").collect()] == [3, 0, 3]
+    for bad in ((), (5,), (-1,), (0,) * 6):
+        with pytest.raises(ValueError):
+            sampling.checked_gather(df, "idx", ids(*bad), "at", "nth")
+    values = spark.createDataFrame([(1, 0.5, float("inf")), (2, None, 1.0), (3, float("nan"), 2.0)], "k int, a double, b double")
+    assert [(r.k, r.name) for r in stats.first_non_finite(values, ["k"], ["a", "b"]).collect()] == [(1, "b"), (3, "a")]
+    with pytest.raises(ValueError):
+        stats.require_finite(values, ["k"], ["a"])
+    assert stats.require_finite(values, ["k"], ["k"]) is values and stats.noisy(values, "k", "b", 0.0, 1) is values
+    assert stats.ridge_r2(values.limit(0), ["a"], "b").first().n == 0
+    assert stats.parameter_count(spark.createDataFrame([], "s array<bigint>"), "s").first()[0] == 0
+    one = spark.createDataFrame([(1, [0.0, 3.0]), (2, [4.0, 0.0])], "k int, v array<double>")
+    got = setsim.energy_distance(one, one, "k", "v").first()
+    assert math.isclose(got.exx, 5) and math.isclose(got.exy, 2.5) and math.isclose(got.energy, -5)
+
+
+def test_greedy_batches_follow_the_rule(spark):
+    dice = np.random.default_rng(4)
+    sizes = [(int(i), int(a), int(b)) for i, (a, b) in enumerate(dice.integers(1, 60, (400, 2)))]
+    out, batch, held = {}, 0, [0, 0, 0]
+    for i, n, e in sizes:
+        if held[2] and (held[0] + n > 50 or held[1] + e > 90 or held[2] + 1 > 4):
+            batch, held = batch + 1, [0, 0, 0]
+        out[i] = batch
+        held = [held[0] + n, held[1] + e, held[2] + 1]
+        if n > 50 or e > 90:
+            batch, held = batch + 1, [0, 0, 0]
+    df = spark.createDataFrame(sizes, "i long, n long, e long")
+    assert {r.i: r.batch for r in batching.token_buckets(df, "i", "n", "e", 50, 90, 4).collect()} == out
+    assert batching.token_buckets(df.limit(0), "i", "n", "e", 50, 90, 4).count() == 0
