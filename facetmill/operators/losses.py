@@ -53,13 +53,13 @@ def svdd(df: DataFrame, key: str, vector: str, centres: DataFrame) -> DataFrame:
 
     a, c = F.col(vector), F.col("centre")
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(c, c))
-    rows = df.join(F.broadcast(centres), key)
+    rows = df.join(centres, key)
     return rows.groupBy(key).agg(F.avg(2 - 2 * F.when(norm > 0, dot(a, c) / norm).otherwise(0.0)).alias("loss"), F.count("*").alias("n"))
 
 
 def centre_loss(df: DataFrame, key: str, vector: str, centres: DataFrame) -> DataFrame:
     """(loss, n): half the squared distance of each vector to its class centre, over the number of rows."""
-    rows = df.join(F.broadcast(centres), key)
+    rows = df.join(centres, key)
     return rows.agg((F.sum(_gap(F.col(vector), F.col("centre"))) / 2 / F.count("*")).alias("loss"), F.count("*").alias("n"))
 
 
