@@ -29,7 +29,9 @@ from facetmill.sources.scratch import Scratch
 #: Rows whose copies are grouped together before anything is shuffled.
 BATCH_ROWS = 100_000
 #: Entries that a bucket's trie counts at most, save where they are all of one key.
-CAPACITY = 20_000
+CAPACITY = 50_000
+#: Prefixes that are sent to every executor at most; more are joined by a shuffle.
+SENT = 100_000
 #: An entry with more ids than this keeps them in the written table while it is counted.
 CARRIED_IDS = 64
 
@@ -84,7 +86,8 @@ def radix_plan(keys: DataFrame, column: str, capacity: int | None = None) -> lis
             lengths = sorted({len(p) for p, _ in wide})
             cut = None
             for n in lengths:
-                part = keys.join(F.broadcast(opened.where(F.col("len") == n)), F.substring(key, 1, n) == F.col("prefix")).select(key.alias("k"), F.expr(f"substring({column}, 1, depth)").alias("p"))
+                own = opened.where(F.col("len") == n)
+                part = keys.join(F.broadcast(own) if len(wide) <= SENT else own, F.substring(key, 1, n) == F.col("prefix")).select(key.alias("k"), F.expr(f"substring({column}, 1, depth)").alias("p"))
                 cut = part if cut is None else cut.unionAll(part)
         wide = []
         for p, n, low, high in cut.groupBy("p").agg(F.count("*"), F.min("k"), F.max("k")).collect():

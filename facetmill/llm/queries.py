@@ -19,7 +19,7 @@ FREQUENT = 1 / 200
 TOP = 50
 NEAREST = 3
 LEAST_SIMILARITY = 0.6
-#: File of a public tokenizer; every executor must reach it.
+#: File of a public tokenizer, where the session's ``facetmill.tokenizer`` names none; every executor must reach it.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
@@ -173,9 +173,9 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(report, mixing.REPORT).where("lacking > 0").select("recipe_id", "source")
 
 
-def _mix(spark: SparkSession, root: str, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame, list[tuple], list[tuple]]:
+def _mix(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, list[tuple], list[tuple]]:
     scratch = Scratch(spark, "tokens")
-    counted = mixing.model_tokens(table(spark, root, "documents"), "doc_id", "text", "source", tokenizer)
+    counted = mixing.model_tokens(table(spark, root, "documents"), "doc_id", "text", "source", spark.conf.get("facetmill.tokenizer", TOKENIZER))
     # from here on texts are only told apart
     counted = scratch.write(counted.withColumn("text", F.sha2("text", 256)), "counted")
     members = scratch.write(mixing.memberships(counted, "doc_id", "text", "source", F.col("n_tokens"), merge=True), "members")
