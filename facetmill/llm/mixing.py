@@ -10,11 +10,14 @@ out along each pattern in a seeded order, and each source takes a stretch of tha
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterable
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from facetmill.llm.flow import Network
 from facetmill.sources.scratch import Scratch
@@ -23,7 +26,9 @@ from facetmill.sources.scratch import Scratch
 MOST_ROWS = 100_000
 #: Documents of a pattern that are laid out within one task.
 LINE_DOCS = 20_000
-_BLANK = r"[^\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+#: Pieces between white space, and separators that Python's split takes for white space besides.
+_PIECE = re.compile("[^ \\t\\n\\x0b\\f\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+_OTHER_BLANK = re.compile("[\\x1c-\\x1f]")
 
 
 def letters(c: Column) -> Column:
@@ -32,9 +37,16 @@ def letters(c: Column) -> Column:
     return F.when(x != "", x)
 
 
+def _pieces(texts: pd.Series) -> pd.Series:
+    return pd.Series([0 if t is None else len(t.split()) if not _OTHER_BLANK.search(t) else len(_PIECE.findall(t)) for t in texts], dtype="int64")
+
+
 def blank_tokens(c: Column) -> Column:
-    """The number of pieces of a text between white space; 0 for null."""
-    return F.coalesce(F.regexp_count(c, F.lit(_BLANK)), F.lit(0)).cast("long")
+    """The number of pieces of a text between white space; 0 for null.
+
+    A Python function in Arrow batches: splitting takes a fraction of the CPU time of the same rule as an expression of the JVM.
+    """
+    return F.pandas_udf(_pieces, LongType())(c.cast("string"))
 
 
 def model_tokens(docs: DataFrame, doc_id: str, text_col: str, source_col: str, tokenizer: str) -> DataFrame:
@@ -142,5 +154,5 @@ def select_documents(members: DataFrame, flows: DataFrame, seed: int = 5) -> Dat
     within = F.sum("n_tokens").over(Window.partitionBy("pattern", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
     placed = laid.withColumn("within", within).join(before, ["pattern", "bucket"]).select("pattern", "doc_id", "n_tokens", (F.col("within") + F.col("before")).alias("at"))
     times = lambda end: F.floor((F.col(end) - 1 - F.col("at")) / F.col("tokens"))
-    taken = placed.join(F.broadcast(flows), "pattern").withColumn("copies", (times("stop") - times("start")).cast("long"))
+    taken = placed.join(flows, "pattern").withColumn("copies", (times("stop") - times("start")).cast("long"))
     return taken.where("copies > 0").select("recipe_id", "source", "doc_id", "copies", "n_tokens")
