@@ -29,7 +29,7 @@ from facetmill.sources.scratch import Scratch
 #: Rows whose copies are grouped together before anything is shuffled.
 BATCH_ROWS = 100_000
 #: Entries that a bucket's trie counts at most, save where they are all of one key.
-CAPACITY = 50_000
+CAPACITY = 20_000
 #: Prefixes that are sent to every executor at most; more are joined by a shuffle.
 SENT = 100_000
 #: An entry with more ids than this keeps them in the written table while it is counted.
