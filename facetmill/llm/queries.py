@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetmill.llm import collapse, cross_split, group_split, heavy, leaks, mixing, neighbours, packing, quotas, spam
@@ -51,6 +51,11 @@ def p1_quotas(spark: SparkSession, root: str) -> DataFrame:
     return _plan_report(spark, root)[1].withColumnsRenamed({"category": "protein_name", "label": "binds"})
 
 
+def p1_sizes(spark: SparkSession, root: str) -> DataFrame:
+    """The size of every plan's sample: what its targets or its floors need, as far as rows are there."""
+    return _plan_report(spark, root)[1].groupBy("plan_id").agg(F.sum("quota").alias("size"), F.count("*").alias("n_cells"))
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """The smallest row of each group of same records with each other row of it."""
     found = collapse.collapse(_molecules(spark, root), "row_id", "molecule_smiles", least=2)
@@ -81,6 +86,14 @@ def p3_containers(spark: SparkSession, root: str) -> DataFrame:
     return placed.withColumnRenamed("id", "row_id")
 
 
+def p3_coverage(spark: SparkSession, root: str) -> DataFrame:
+    """Of each container size the rows and characters packed, and the containers that hold more than fits: none."""
+    sizes = F.create_map(*(F.lit(x) for pair in _capacities(spark, root).items() for x in pair))
+    held = p3_containers(spark, root).groupBy("limit_id", "container").agg(F.sum("length").alias("held"), F.count_if(F.col("piece") == 0).alias("rows"))
+    over = F.count_if(F.col("held") > F.element_at(sizes, F.col("limit_id").cast("int")))
+    return held.groupBy("limit_id").agg(F.sum("rows").alias("n_rows"), F.sum("held").alias("n_chars"), over.alias("n_overfull"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """Rows of train and of another split that are the same record or nearly so."""
     found = cross_split.overlaps(_molecules(spark, root), "row_id", "molecule_smiles", "split")
@@ -136,6 +149,14 @@ def p6_top(spark: SparkSession, root: str) -> DataFrame:
     return heavy.top_values(table(spark, root, "bindings"), "molecule_smiles", TOP).withColumnRenamed("value", "molecule_smiles")
 
 
+def p6_ranks(spark: SparkSession, root: str) -> DataFrame:
+    """The true counts of the values that the sketch ranks first, in order: those of the truly most frequent ones if it misses none."""
+    top = p6_top(spark, root).select("molecule_smiles")
+    # TOP rows
+    exact = table(spark, root, "bindings").join(F.broadcast(top), "molecule_smiles").groupBy("molecule_smiles").agg(F.count("*").alias("n_rows"))
+    return exact.select((F.row_number().over(Window.orderBy(F.desc("n_rows"), "molecule_smiles"))).alias("nth"), "n_rows")
+
+
 def _nearest(spark: SparkSession, root: str) -> DataFrame:
     return neighbours.nearest(table(spark, root, "fingerprints"), "row_id", "fps", NEAREST, LEAST_SIMILARITY)
 
@@ -217,7 +238,7 @@ _SQUEEZE = r"""regexp_replace(molecule_smiles, '[\s\x{85}\x{a0}\x{1680}\x{180e}\
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_quotas, p1_sample, p2_found, p2_records, p3_found, p3_containers, p4_found, p4_report, p4_classes, p5_found, p5_assign, p5_batches, p6_found, p6_top, p7_found, p7_neighbours, p8_found, p8_leaks, p9_found, p9_shares, p9_mix, p10_found, p10_pages)
+    named = (p1_found, p1_quotas, p1_sample, p1_sizes, p2_found, p2_records, p3_found, p3_containers, p3_coverage, p4_found, p4_report, p4_classes, p5_found, p5_assign, p5_batches, p6_found, p6_top, p6_ranks, p7_found, p7_neighbours, p8_found, p8_leaks, p9_found, p9_shares, p9_mix, p10_found, p10_pages)
     return {f.__name__: f for f in named}
 
 
@@ -228,6 +249,17 @@ WITH {_USABLE}
 SELECT p.plan_id, p.protein_name, p.binds
 FROM sample_plans p CROSS JOIN total t LEFT JOIN cells c ON c.protein = p.protein_name AND c.binds = p.binds
 WHERE coalesce(c.n, 0) < p.target_share * p.sample_frac * t.n OR coalesce(c.n, 0) < p.min_rows""",
+        "p1_sizes": f"""
+WITH {_USABLE},
+wanted AS (SELECT plan_id, protein_name, binds, sum(target_share * sample_frac * t.n) AS target, max(coalesce(min_rows, 0)) AS least FROM sample_plans, total t GROUP BY ALL),
+held AS (SELECT w.*, coalesce(c.n, 0) AS there FROM wanted w LEFT JOIN cells c ON c.protein = w.protein_name AND c.binds = w.binds)
+SELECT plan_id, CAST(least(sum(there), greatest(sum(least(there, least)), floor(sum(target) + 0.5 + 1e-6))) AS BIGINT) AS size, count(*) AS n_cells FROM held GROUP BY plan_id""",
+        "p3_coverage": f"""
+WITH m AS (SELECT length({_SQUEEZE}) AS n FROM molecules WHERE row_id IS NOT NULL)
+SELECT l.limit_id, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS n_chars, 0::BIGINT AS n_overfull FROM m, pack_limits l WHERE n > 0 GROUP BY l.limit_id""",
+        "p6_ranks": r"""
+WITH c AS (SELECT count(*) AS n_rows FROM bindings WHERE regexp_matches(molecule_smiles, '[^\s\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]') GROUP BY molecule_smiles)
+SELECT CAST(row_number() OVER (ORDER BY n_rows DESC) AS INT) AS nth, n_rows FROM c ORDER BY n_rows DESC LIMIT 50""",
         "p3_found": f"""
 SELECT l.limit_id, m.row_id FROM (SELECT row_id, length({_SQUEEZE}) AS n FROM molecules) m JOIN pack_limits l ON m.n > l.max_chars""",
         "p6_found": r"""

@@ -72,7 +72,7 @@ _FLOOR, _TARGET, _ABOVE, _OVER, _LACKING = 0, 1000, 1100, 300, 20_000
 def draw_quotas(cells: dict[tuple, tuple[float, int]], available: dict[tuple, int], seed: int) -> dict[tuple, int]:
     """A random integer quota per cell, at least its floor and at most what is there.
 
-    The quotas sum to the targets' sum, or to the floors' where that is more, as far as rows are there. Each margin of the targets, rounded down or up at random, is
+    The quotas sum to the targets' sum, halves rounded up, or to the floors' where that is more, as far as rows are there. Each margin of the targets, rounded down or up at random, is
     kept where floors and availability allow; what a cell lacks or a floor adds is balanced inside its row and column first, as
     going over a margin costs more than moving units around a cycle of cells.
     """
@@ -102,7 +102,7 @@ def draw_quotas(cells: dict[tuple, tuple[float, int]], available: dict[tuple, in
         steps += [(spare // 8 + (k < spare % 8), _ABOVE + k) for k in range(8)]
         arcs[cell] = [net.arc((0, cell[0]), (1, cell[1]), room, cost) for room, cost in steps if room > 0]
         net.arc((0, cell[0]), (1, cell[1]), 1 << 60, _LACKING)
-    net.send("source", "sink", max(floors, round(sum(t for t, _ in cells.values()))))
+    net.send("source", "sink", max(floors, math.floor(sum(t for t, _ in cells.values()) + 0.5 + 1e-6)))
     return {c: sum(map(net.flow, arcs[c])) for c in cells}
 
 
