@@ -377,7 +377,7 @@ def posting_costs(found: DataFrame) -> Costs:
     return Costs(out[0].astype(np.int64), out[1].astype(np.int64), out[2], out[3])
 
 
-def candidates(found: DataFrame, scratch: Scratch, least: float, share: float = LEAST_SHARE) -> DataFrame:
+def candidates(found: DataFrame, scratch: Scratch, least: float, share: float = LEAST_SHARE, salted: int = SALTED) -> DataFrame:
     """(ta, ea): classes of train and of other splits that share posted chunks and may reach ``share`` and ``least``.
 
     All that the driver sees are counters and bits of fixed number. A posting that many classes of train hold is spread over salts:
@@ -389,7 +389,7 @@ def candidates(found: DataFrame, scratch: Scratch, least: float, share: float =
     def side(train: bool) -> DataFrame:
         def run(batches):
             costs = held.value
-            salts = np.maximum(1, -(-costs.train // SALTED))
+            salts = np.maximum(1, -(-costs.train // salted))
             dice = np.random.default_rng(0)
             for b in batches:
                 keys = b.column(0).to_numpy()

@@ -192,6 +192,16 @@ def test_overlap_modes_and_classes(spark):
     assert all(r.class_id == min(i for i, p in plain.items() if p == plain[r.id]) for r in got)
 
 
+def test_salted_postings_lose_nothing(spark):
+    dice = random.Random(19)
+    core = "".join(dice.choice("CNOPS()=") for _ in range(60))
+    rows = [(i, core[: dice.randint(30, 60)] + "".join(dice.choice("CNO") for _ in range(dice.randint(0, 25))), "train" if i % 3 else "val") for i in range(90)]
+    scratch = cross_split.Scratch(spark, "salted")
+    found = scratch.write(cross_split.classes(molecules(spark, rows), "row_id", "molecule_smiles", "split"), "classes")
+    got = [{tuple(r) for r in cross_split.candidates(found, cross_split.Scratch(spark, "s"), 0.7, salted=n).collect()} for n in (20_000, 3)]
+    assert got[0] == got[1] and len(got[0]) > 50
+
+
 @pytest.mark.parametrize("least", [0.5, 0.7, 0.9])
 def test_posted_meet_every_partner(least):
     """Two records of few runs that reach the limit post a common run, and the parity bits don't part them."""
