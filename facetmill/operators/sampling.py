@@ -41,8 +41,13 @@ def gather(df: DataFrame, key: str, ids: DataFrame, id_col: str, at: str) -> Dat
     return ids.select(F.col(id_col).alias(key), at).join(df, key)
 
 
-def checked_gather(df: DataFrame, index: str, ids: DataFrame, id_col: str, at: str) -> DataFrame:
-    """``gather`` by position; raises where the list is empty, longer than the table, or names a position outside of it."""
+def checked_gather(df: DataFrame, index: str, ids: DataFrame, id_col: str, at: str, strict: bool = True) -> DataFrame:
+    """``gather`` by position; raises where the list is empty, longer than the table, or names a position outside of it.
+
+    Without ``strict`` such a list is taken as it is, and positions outside of the table give no row.
+    """
+    if not strict:
+        return gather(df, index, ids, id_col, at)
     total = df.count()
     seen = ids.agg(F.count("*").alias("n"), F.min(id_col).alias("low"), F.max(id_col).alias("high")).first()
     if not seen.n:

@@ -379,3 +379,17 @@ def test_greedy_batches_follow_the_rule(spark):
     df = spark.createDataFrame(sizes, "i long, n long, e long")
     assert {r.i: r.batch for r in batching.token_buckets(df, "i", "n", "e", 50, 90, 4).collect()} == out
     assert batching.token_buckets(df.limit(0), "i", "n", "e", 50, 90, 4).count() == 0
+
+
+def test_gather_of_keys_with_gaps(spark, tmp_path):
+    """Copies with shifted keys: more listed keys than rows, positions outside of the table and below zero, a null; the query gives the rows of its SQL."""
+    shift = 10_000_000_000
+    spark.createDataFrame([(i + k * shift,) for k in range(2) for i in (0, 1, 2, 5)], "row_id long").write.parquet(f"{tmp_path}/molecules.parquet")
+    listed = [i + k * shift for k in range(2) for i in range(-4, 22)]
+    spark.createDataFrame([(i,) for i in (*listed, None)], "row_id long").write.parquet(f"{tmp_path}/fingerprints.parquet")
+    con = duckdb.connect()
+    for name in ("molecules", "fingerprints"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = con.execute(catalog.oracle_sql()["gather_checked"]).fetchall()
+    got = catalog.queries()["gather_checked"](spark, str(tmp_path)).collect()
+    assert len(want) == 24 and sorted(map(tuple, got)) == sorted(want)
