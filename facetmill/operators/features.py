@@ -18,8 +18,9 @@ from facetmill.functions.spelling import plain_spelling
 from facetmill.operators.inference import Block, layer_norm, mlp
 from facetmill.sources.scratch import one_thread_a_task
 
-#: Graphs whose cells are taken together.
+#: Graphs whose cells are taken together, and rows of a table of cells that are sent at a time.
 GRAPHS = 128
+ROWS = 65_536
 CODED = "g bigint, n int, atoms array<int>, bonds array<int>, bond_codes array<int>, ring_sizes array<int>, ring_bonds array<int>, ring_codes array<int>"
 
 
@@ -47,27 +48,36 @@ def coded_complexes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("g"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, CODED)
 
 
-def _rows(found: DataFrame, column: str, fields: tuple[str, ...], name: str) -> DataFrame:
-    width = len(fields)
-    one = F.transform(F.sequence(F.lit(1), F.size(column), F.lit(width)), lambda k: F.slice(column, k, width))
-    rows = found.where(F.size(column) > 0).select("g", F.posexplode(one).alias(name, "c"))
-    return rows.select("g", name, *(F.col("c")[i].alias(f) for i, f in enumerate(fields)))
+def _rows(found: DataFrame, columns: dict[str, tuple[str, ...]], name: str) -> DataFrame:
+    """(g, ``name``, fields..): one row for each entry of the flat lists ``columns``, which have as many entries as each other; nothing is joined."""
+    fields = [f for own in columns.values() for f in own]
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            g, *lists = b.columns
+            width = len(next(iter(columns.values())))
+            many = lists[0].value_lengths().to_numpy(zero_copy_only=False) // width
+            codes = [x.flatten().to_numpy().reshape(-1, len(own))[:, i] for x, own in zip(lists, columns.values()) for i in range(len(own))]
+            rows = np.repeat(g.to_numpy(), many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            for at in range(0, len(rows[0]), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0][at : at + ROWS]), *(pa.array(c[at : at + ROWS].astype(np.int32)) for c in (rows[1], *codes))], names=["g", name, *fields])
+
+    return found.select("g", *columns).mapInArrow(run, ", ".join(["g bigint", *(f"{f} int" for f in (name, *fields))]))
 
 
 def atom_table(found: DataFrame) -> DataFrame:
     """(g, atom, the 12 codes)."""
-    return _rows(found, "atoms", ATOM_FIELDS, "atom")
+    return _rows(found, {"atoms": ATOM_FIELDS}, "atom")
 
 
 def bond_table(found: DataFrame) -> DataFrame:
     """(g, bond, u, v, the 4 codes)."""
-    ends = _rows(found, "bonds", ("u", "v"), "bond")
-    return ends.join(_rows(found, "bond_codes", BOND_FIELDS, "bond"), ["g", "bond"])
+    return _rows(found, {"bonds": ("u", "v"), "bond_codes": BOND_FIELDS}, "bond")
 
 
 def ring_table(found: DataFrame) -> DataFrame:
     """(g, ring, the 6 codes)."""
-    return _rows(found, "ring_codes", RING_FIELDS, "ring")
+    return _rows(found, {"ring_codes": RING_FIELDS}, "ring")
 
 
 def hops_of(n: np.ndarray, u: np.ndarray, v: np.ndarray) -> list[np.ndarray]:

@@ -142,7 +142,7 @@ def molecule_unreadable(spark, root):
 
 
 def _coded(spark, root):
-    return features.coded_complexes(table(spark, root, "molecules", ["row_id", "molecule_smiles"]), "row_id", "molecule_smiles")
+    return features.coded_complexes(_spread(table(spark, root, "molecules", ["row_id", "molecule_smiles"])), "row_id", "molecule_smiles")
 
 
 @register("molecule_atoms")
@@ -163,17 +163,17 @@ def molecule_rings(spark, root):
 @register("molecule_encodings")
 def molecule_encodings(spark, root):
     """Spectrum, vectors, walk returns and hops of every molecule's graph, whole."""
-    return features.encodings(_spread(_coded(spark, root))).withColumnRenamed("g", "row_id")
+    return features.encodings(_coded(spark, root)).withColumnRenamed("g", "row_id")
 
 
 @register("molecule_forward")
 def molecule_forward(spark, root):
-    return features.forward(_spread(_coded(spark, root)), inference.Block()).withColumnRenamed("g", "row_id")
+    return features.forward(_coded(spark, root), inference.Block()).withColumnRenamed("g", "row_id")
 
 
-def _spread(found):
-    """Graphs over all cores: the work of a graph is heavy beside its size."""
-    return found.repartition(2 * found.sparkSession.sparkContext.defaultParallelism, "g")
+def _spread(rows):
+    """Strings over all cores before they become graphs: the work of a graph is heavy beside its string, and its cells are a hundred times as large."""
+    return rows.repartition(8 * rows.sparkSession.sparkContext.defaultParallelism, "row_id")
 
 
 # Messages: lines as edges, prices as values.

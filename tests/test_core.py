@@ -393,3 +393,18 @@ def test_gather_of_keys_with_gaps(spark, tmp_path):
     want = con.execute(catalog.oracle_sql()["gather_checked"]).fetchall()
     got = catalog.queries()["gather_checked"](spark, str(tmp_path)).collect()
     assert len(want) == 24 and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_bond_table_joins_nothing(spark):
+    """Bonds and their codes stand in lists of one order: their table needs no join, of which a planner could send one side to the driver."""
+    texts = [(1, "C=CC#N"), (2, "C"), (3, "c1ccccc1C"), (-4, "CC")]
+    found = features.coded_complexes(spark.createDataFrame(texts, "row_id long, s string"), "row_id", "s").cache()
+    table = features.bond_table(found)
+    assert "Join" not in table._jdf.queryExecution().executedPlan().toString() and table.dtypes == [("g", "bigint"), *((c, "int") for c in ("bond", "u", "v", *codes.BOND_FIELDS))]
+    want = []
+    for g, text in texts:
+        _, bonds, bond_codes, *_ = codes.coded_cells(text)
+        want += [(g, i, *ends, *own) for i, (ends, own) in enumerate(zip(bonds, bond_codes))]
+    assert sorted(map(tuple, table.collect())) == sorted(want)
+    rings = codes.coded_cells("c1ccccc1C")[4]
+    assert [tuple(r) for r in features.ring_table(found).collect()] == [(3, i, *c) for i, c in enumerate(rings)]
