@@ -21,6 +21,9 @@ from facetmill.sources.scratch import one_thread_a_task
 #: Graphs whose cells are taken together, and rows of a table of cells that are sent at a time.
 GRAPHS = 128
 ROWS = 65_536
+#: Pairs of atoms of graphs that are taken together, and pairs that one step of attention takes at a time.
+PAIRS = 1 << 20
+ATTENDED = 1 << 15
 CODED = "g bigint, n int, atoms array<int>, bonds array<int>, bond_codes array<int>, ring_sizes array<int>, ring_bonds array<int>, ring_codes array<int>"
 
 
@@ -80,41 +83,34 @@ def ring_table(found: DataFrame) -> DataFrame:
     return _rows(found, {"ring_codes": RING_FIELDS}, "ring")
 
 
-def hops_of(n: np.ndarray, u: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
-    """The (n, n) hops of each graph of a batch, 0 to itself, -1 where there is no way; u, v are directed edges between numbers over all graphs.
+def hops_of(n: int, bonds: list[np.ndarray]) -> np.ndarray:
+    """(graphs, n, n) hops of stacked graphs of n atoms, 0 to itself, -1 where there is no way; bonds are pairs of atoms of each graph.
 
-    Each node holds the bits of the nodes of its graph that it reaches; a step ors those of its neighbours, for all graphs at once.
+    Atoms join one by one through their first bond to an earlier atom, which gives their hops to all earlier ones. Each bond left shortens
+    the ways that lead over it once.
     """
-    first, of_node = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
-    total, words = int(n.sum()), int(-(-n.max() // 64))
-    local = np.arange(total) - first[of_node]
-    reached = np.zeros((total, words), np.uint64)
-    reached[np.arange(total), local // 64] = np.uint64(1) << (local % 64).astype(np.uint64)
-    d = np.zeros((total, words * 64), np.int32)
-    order = np.argsort(u, kind="stable")
-    u, v, rows = u[order], v[order], np.arange(total)
-    while True:
-        missing = np.unpackbits(reached.view(np.uint8), axis=1, bitorder="little") == 0
-        onward = reached.copy()
-        if len(u):
-            nodes, starts = np.unique(u, return_index=True)
-            onward[nodes] |= np.bitwise_or.reduceat(reached[v], starts, axis=0)
-        moved = np.zeros(len(n), bool)
-        moved[of_node[rows[(onward != reached).any(1)]]] = True
-        live = moved[of_node[rows]]
-        if 2 * live.sum() > len(rows):
-            d[rows] += missing
-        else:
-            # most graphs are done: go on with the others only
-            d[rows[~live]] = np.where(missing[~live], -1, d[rows[~live]])
-            d[rows[live]] += missing[live]
-            if not live.any():
-                break
-            onward, number = onward[live], np.cumsum(live) - 1
-            held = live[u]
-            u, v, rows = number[u[held]], number[v[held]], rows[live]
-        reached = onward
-    return [d[a : a + k, :k] for a, k in zip(first, n)]
+    kind, far = (np.int16, 16_000) if n < 16_000 else (np.int32, 1 << 29)
+    graphs, parent, left = np.arange(len(bonds)), np.full((len(bonds), n), n), []
+    for k, b in enumerate(bonds):
+        low, high = b.min(1), b.max(1)
+        _, first = np.unique(high, return_index=True)
+        parent[k, high[first]] = low[first]
+        left.append(np.delete(b, first, 0))
+    # the last row stands for no earlier atom
+    d = np.full((len(bonds), n + 1, n), far, kind)
+    for i in range(n):
+        d[:, i, :i] = np.minimum(d[graphs, parent[:, i], :i] + kind(1), far)
+        d[:, :i, i] = d[:, i, :i]
+        d[:, i, i] = 0
+    d = d[:, :n]
+    for e in range(max(map(len, left), default=0)):
+        own = np.array([k for k, b in enumerate(left) if len(b) > e])
+        a, b = np.array([left[k][e] for k in own]).T
+        to_a, to_b = d[own, a], d[own, b]
+        ways = np.minimum(to_a[:, :, None] + to_b[:, None], to_b[:, :, None] + to_a[:, None])
+        ways += kind(1)
+        d[own] = np.minimum(d[own], ways)
+    return np.where(d < far, d, kind(-1)).astype(np.int32)
 
 
 def eigen_of(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,9 +143,27 @@ def spectra_of(values: np.ndarray, vectors: np.ndarray, k: int, zero: float = 1e
 
 
 def _batches(b: pa.RecordBatch) -> Iterator[list[dict]]:
-    rows = [{k: np.asarray(v, np.int64) if isinstance(v, list) else v for k, v in r.items()} for r in b.to_pylist()]
-    for i in range(0, len(rows), GRAPHS):
-        yield rows[i : i + GRAPHS]
+    """The graphs of a batch by size, at most GRAPHS and PAIRS pairs of atoms at a time; one graph at least."""
+    columns = []
+    for x in b.columns:
+        if pa.types.is_list(x.type):
+            values, ends = x.flatten().to_numpy().astype(np.int64), np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))
+            columns.append(np.split(values, ends[:-1]))
+        else:
+            columns.append(x.to_pylist())
+    rows = sorted((dict(zip(b.schema.names, r)) for r in zip(*columns)), key=lambda r: r["n"])
+    own: list[dict] = []
+    for r in rows:
+        if own and (len(own) == GRAPHS or (len(own) + 1) * r["n"] ** 2 > PAIRS):
+            yield own
+            own = []
+        own.append(r)
+    if own:
+        yield own
+
+
+def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(np.size, rows)]), pa.int32()), pa.array(np.concatenate([r.ravel() for r in rows]), kind))
 
 
 def _by_size(graphs: list[dict]) -> Iterator[tuple[list[int], np.ndarray]]:
@@ -179,15 +193,16 @@ def encodings(found: DataFrame, k: int = 7, steps: int = 16) -> DataFrame:
     def run(batches):
         for b in batches:
             for graphs in _batches(b):
-                hops = hops_of(*_ends(graphs))
                 out: list = []
                 for own, links in _by_size(graphs):
+                    hops = hops_of(links.shape[1], [graphs[i]["bonds"].reshape(-1, 2) for i in own])
                     eigen = eigen_of(links)
                     back = returns_of(links, *eigen, steps)
                     values, vectors = spectra_of(*eigen, k)
-                    out += [(graphs[i]["g"], graphs[i]["n"], values[j], vectors[j].ravel(), back[j].ravel(), hops[i].ravel()) for j, i in enumerate(own)]
-                kinds = [pa.int64(), pa.int32(), *[pa.list_(pa.float64())] * 3, pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["g", "n", "values", "vectors", "returns", "hops"])
+                    out += [(graphs[i]["g"], graphs[i]["n"], values[j], vectors[j], back[j], hops[j]) for j, i in enumerate(own)]
+                g, n, *lists = zip(*out)
+                kinds = [*[pa.float64()] * 3, pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(n, pa.int32()), *map(_lists, lists, kinds)], names=["g", "n", "values", "vectors", "returns", "hops"])
 
     return one_thread_a_task(found).select("g", "n", "bonds").mapInArrow(run, schema)
 
@@ -220,17 +235,27 @@ def message_layer(block: Block, name: str, x, e, f, g, u, v, inc_face, inc_edge,
     return layer_norm(x_new) + x, e + e_new, f + f_new, g + g_new
 
 
-def attend(block: Block, name: str, x: np.ndarray, hops: np.ndarray) -> np.ndarray:
-    """Softmax attention within stacked graphs (graphs, n, width), with a bias by head and hops; no way, no attention."""
+def hop_bias(block: Block, hops: np.ndarray) -> np.ndarray:
+    """(graphs, heads, n, n): a bias by head and hops; minus infinity where there is no way."""
+    table = np.vstack([block.get("bias", block.most_hops + 3, block.heads), np.full(block.heads, -np.inf)])
+    at = np.where(hops < 0, block.most_hops + 3, np.minimum(np.where(hops > 0, hops + 1, 0), block.most_hops + 1))
+    return np.stack([table[:, h][at] for h in range(block.heads)], 1)
+
+
+def attend(block: Block, name: str, x: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Softmax attention within stacked graphs (graphs, n, width), with a bias; no way, no attention."""
     k, n, d = x.shape
     split = lambda w: (x @ block.get(name + w, d, d)).reshape(k, n, block.heads, -1).transpose(0, 2, 1, 3)
-    recoded = np.where(hops > 0, hops + 1, hops)
-    table = block.get("bias", block.most_hops + 3, block.heads)
-    bias = table[np.where(recoded < 0, block.most_hops + 2, np.minimum(recoded, block.most_hops + 1))].transpose(0, 3, 1, 2)
-    score = split("query") @ split("key").transpose(0, 1, 3, 2) / np.sqrt(d / block.heads) + np.where(hops[:, None] < 0, -np.inf, bias)
-    w = np.exp(score - score.max(-1, keepdims=True))
-    w /= w.sum(-1, keepdims=True)
-    return (w @ split("value")).transpose(0, 2, 1, 3).reshape(k, n, d) @ block.get(name + "out", d, d)
+    query, key, value = split("query") / np.sqrt(d / block.heads), split("key").transpose(0, 1, 3, 2), split("value")
+    heard = np.empty_like(query)
+    step = max(1, ATTENDED // (n * n))
+    for i in range(0, k, step):
+        w = query[i : i + step] @ key[i : i + step]
+        w += bias[i : i + step]
+        w -= w.max(-1, keepdims=True)
+        np.exp(w, out=w)
+        heard[i : i + step] = w @ value[i : i + step] / w.sum(-1, keepdims=True)
+    return heard.transpose(0, 2, 1, 3).reshape(k, n, d) @ block.get(name + "out", d, d)
 
 
 ATOM_SIZES, BOND_SIZES, RING_SIZES = (11, 5, 6, 6, 5, 5, 5, 4, 4, 2, 2, 2), (len(BOND_TYPES) + 1, len(BOND_STEREO) + 1, 2, 2), (6, 2, 6, 2, 2, 12)
@@ -254,13 +279,13 @@ def forward_batch(block: Block, graphs: list[dict], layers: int = 2, targets: in
     inc_face, inc_edge = np.tile(np.repeat(np.arange(len(sizes)), sizes), 2), np.r_[bonds, bonds + m.sum()]
     width = block.width
     values, vectors, back = np.zeros((len(n), k)), np.zeros((n.sum(), k)), np.zeros((n.sum(), steps))
-    apart, hops = hops_of(n, u, v), []
+    biases = []
     for own, links in _by_size(graphs):
         rows = first[own][:, None] + np.arange(links.shape[1])
         eigen = eigen_of(links)
         values[own], vectors[rows] = spectra_of(*eigen, k)
         back[rows] = returns_of(links, *eigen, steps)
-        hops.append((rows, np.stack([apart[i] for i in own])))
+        biases.append((rows, hop_bias(block, hops_of(links.shape[1], [graphs[i]["bonds"].reshape(-1, 2) for i in own]))))
     codes = [np.concatenate([g[c] for g in graphs]).reshape(-1, w) for c, w in (("atoms", 12), ("bond_codes", 4), ("ring_codes", 6))]
     x = _looked_up(block, "atom", codes[0], ATOM_SIZES) + block.get("degree", 6, width)[np.minimum(np.bincount(u, minlength=n.sum()), 5)]
     x = x + mlp(block, "spectrum", vectors) + mlp(block, "walk", back)
@@ -271,8 +296,8 @@ def forward_batch(block: Block, graphs: list[dict], layers: int = 2, targets: in
         name = f"layer{layer}-"
         moved, e, f, g = message_layer(block, name, x, e, f, g, u, v, inc_face, inc_edge, of_node, of_edge, of_face)
         seen = np.zeros_like(x)
-        for rows, d in hops:
-            seen[rows] = attend(block, name, x[rows], d)
+        for rows, bias in biases:
+            seen[rows] = attend(block, name, x[rows], bias)
         x = layer_norm(moved + seen)
         x = x + mlp(block, name + "feed", x)
     pooled = _sums(x, of_node, len(n))
@@ -286,6 +311,6 @@ def forward(found: DataFrame, block: Block, layers: int = 2) -> DataFrame:
         for b in batches:
             for graphs in _batches(b):
                 pooled, logits = forward_batch(block, graphs, layers)
-                yield pa.RecordBatch.from_arrays([pa.array([x["g"] for x in graphs], pa.int64()), pa.array([*pooled], pa.list_(pa.float64())), pa.array([*logits], pa.list_(pa.float64()))], names=["g", "embedding", "logits"])
+                yield pa.RecordBatch.from_arrays([pa.array([x["g"] for x in graphs], pa.int64()), _lists([*pooled], pa.float64()), _lists([*logits], pa.float64())], names=["g", "embedding", "logits"])
 
     return one_thread_a_task(found).mapInArrow(run, "g bigint, embedding array<double>, logits array<double>")

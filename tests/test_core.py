@@ -408,3 +408,31 @@ def test_bond_table_joins_nothing(spark):
     assert sorted(map(tuple, table.collect())) == sorted(want)
     rings = codes.coded_cells("c1ccccc1C")[4]
     assert [tuple(r) for r in features.ring_table(found).collect()] == [(3, i, *c) for i, c in enumerate(rings)]
+
+
+def test_hops_of_stacked_graphs():
+    """Graphs of one size, with rings, parts apart and atoms numbered in any order, against all ways."""
+    dice = np.random.default_rng(5)
+    for n in (1, 2, 9, 40):
+        bonds = []
+        for m in (0, n // 2, n, 2 * n):
+            pairs = {tuple(sorted(p)) for p in dice.integers(0, n, (m, 2)).tolist() if p[0] != p[1]}
+            bonds.append(dice.permuted(np.array(sorted(pairs), np.int64).reshape(-1, 2), axis=1))
+        got = features.hops_of(n, bonds)
+        for d, own in zip(got, bonds):
+            want = np.where(np.eye(n) > 0, 0.0, np.inf)
+            want[own[:, 0], own[:, 1]] = want[own[:, 1], own[:, 0]] = 1
+            for k in range(n):
+                want = np.minimum(want, want[:, k : k + 1] + want[k : k + 1])
+            assert d.dtype == np.int32 and (d == np.where(np.isinf(want), -1, want)).all()
+
+
+def test_wide_graphs_stand_apart(spark):
+    """Graphs of a batch are taken by size, so that a wide one doesn't widen the others, and every graph comes out once."""
+    texts = [(i, "C" * (900 if i % 50 == 7 else 2 + i % 9)) for i in range(300)]
+    found = features.coded_complexes(spark.createDataFrame(texts, "row_id long, s string").coalesce(1), "row_id", "s")
+    slices = [g for b in found.select("g", "n", "bonds").toArrow().to_batches() for g in features._batches(b)]
+    assert sorted(r["g"] for own in slices for r in own) == [i for i, _ in texts]
+    assert all(len(own) == 1 or len(own) <= features.GRAPHS and len(own) * max(r["n"] for r in own) ** 2 <= features.PAIRS for own in slices)
+    out = {r.g: r for r in features.encodings(found).where("g in (7, 8)").collect()}
+    assert max(out[7].hops) == 899 and len(out[7].hops) == 810_000 and max(out[8].hops) == 9
