@@ -436,3 +436,22 @@ def test_wide_graphs_stand_apart(spark):
     assert all(len(own) == 1 or len(own) <= features.GRAPHS and len(own) * max(r["n"] for r in own) ** 2 <= features.PAIRS for own in slices)
     out = {r.g: r for r in features.encodings(found).where("g in (7, 8)").collect()}
     assert max(out[7].hops) == 899 and len(out[7].hops) == 810_000 and max(out[8].hops) == 9
+
+
+def test_attention_in_steps():
+    """Attention of a stack in steps equals the plain formula of each graph, and wide layers equal their rows one by one."""
+    block, dice = inference.Block(width=8, heads=2), np.random.default_rng(6)
+    x, hops = dice.normal(size=(50, 30, 8)), dice.integers(-1, 60, (50, 30, 30))
+    hops[:, range(30), range(30)] = 0
+    got = features.attend(block, "a", x, features.hop_bias(block, hops))
+    table = block.get("bias", block.most_hops + 3, 2)
+    for i in (0, 37, 49):
+        q, k, v = ((x[i] @ block.get("a" + w, 8, 8)).reshape(30, 2, 4) for w in ("query", "key", "value"))
+        heard = np.zeros((30, 2, 4))
+        for h in range(2):
+            bias = np.array([[-np.inf if d < 0 else table[min(d + (d > 0), block.most_hops + 1), h] for d in row] for row in hops[i]])
+            w = np.exp(q[:, h] @ k[:, h].T / 2 + bias)
+            heard[:, h] = w / w.sum(1, keepdims=True) @ v[:, h]
+        assert np.allclose(got[i], heard.reshape(30, 8) @ block.get("aout", 8, 8))
+    rows = dice.normal(size=(5000, 8))
+    assert np.allclose(inference.mlp(block, "m", rows)[[0, 2048, 4999]], inference.mlp(block, "m", rows[[0, 2048, 4999]])) and inference.mlp(block, "m", rows[:0]).shape == (0, 8)
