@@ -455,3 +455,28 @@ def test_attention_in_steps():
         assert np.allclose(got[i], heard.reshape(30, 8) @ block.get("aout", 8, 8))
     rows = dice.normal(size=(5000, 8))
     assert np.allclose(inference.mlp(block, "m", rows)[[0, 2048, 4999]], inference.mlp(block, "m", rows[[0, 2048, 4999]])) and inference.mlp(block, "m", rows[:0]).shape == (0, 8)
+
+
+def test_packed_counts():
+    """Shared bits of vectors of every density, those of more than 255 bits among them, against plain counts."""
+    dice = np.random.default_rng(7)
+    v = np.packbits(dice.random((90, 2048)) < np.r_[0, 1, dice.random(88)][:, None], axis=1)
+    m = np.unpackbits(v, axis=1).astype(int)
+    q, r = setsim.packed(v[:50], True), setsim.packed(v[:1:-1], False)
+    both, either = setsim.shared_and_all(q, r)
+    assert (both == m[:50] @ m[:1:-1].T).all() and (either == np.maximum(1, (m[:50, None] | m[:1:-1][None]).sum(2))).all()
+
+
+def test_pairs_sharing_moves_no_pairs(spark):
+    """Pairs come from blocks: repeated keys stay apart, as in SQL, and no pair passes a shuffle."""
+    dice = np.random.default_rng(8)
+    v = [np.packbits(dice.random(2048) < 0.02).tobytes() for _ in range(30)] + [bytes(256)]
+    rows = [*enumerate(v), (4, v[5])]
+    df = spark.createDataFrame(rows, "row_id long, fps binary")
+    found = setsim.pairs_sharing(df.where("row_id < 9"), df, "row_id", "fps", block=4)
+    assert "Aggregate" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "Join" not in plan
+    bits = [np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for _, x in rows]
+    want = [(a, b, round(int((x & y).sum()) / int((x | y).sum()) + 1e-12, 6)) for (a, _), x in zip(rows, bits) if a < 9 for (b, _), y in zip(rows, bits) if (x & y).any()]
+    got = sorted(map(tuple, found.collect()))
+    assert len(got) == len(want) and np.allclose(got, sorted(want), atol=1e-9)
+    assert setsim.pairs_sharing(df.limit(0), df, "row_id", "fps").count() == 0
