@@ -480,3 +480,18 @@ def test_pairs_sharing_moves_no_pairs(spark):
     got = sorted(map(tuple, found.collect()))
     assert len(got) == len(want) and np.allclose(got, sorted(want), atol=1e-9)
     assert setsim.pairs_sharing(df.limit(0), df, "row_id", "fps").count() == 0
+
+
+def test_discrepancy_in_full_precision(spark):
+    """Sparse, dense and equal vectors, against all pairs in double precision."""
+    dice = np.random.default_rng(9)
+    v = np.packbits(dice.random((40, 2048)) < np.r_[[0.03] * 25, [0.6] * 15][:, None], axis=1)
+    v[3] = v[4]
+    df = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(v)], "row_id long, fps binary")
+    m = np.unpackbits(v, axis=1).astype(float)
+    both = m @ m.T
+    s = both / (m.sum(1)[:, None] + m.sum(1) - both)
+    off = lambda a: (a.sum() - np.trace(a)) / (len(a) * (len(a) - 1))
+    d = setsim.discrepancy(df.where("row_id % 3 > 0"), df.where("row_id % 3 = 0"), "row_id", "fps", block=9).first()
+    x, y = np.arange(40) % 3 > 0, np.arange(40) % 3 == 0
+    assert np.allclose([d.exx, d.eyy, d.exy], [off(s[np.ix_(x, x)]), off(s[np.ix_(y, y)]), s[np.ix_(x, y)].mean()], atol=1e-13, rtol=0)
