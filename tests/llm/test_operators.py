@@ -503,3 +503,17 @@ def test_merged_tokens(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = mixing.merged_away(df, "doc_id", "text", "source", mixing.blank_tokens(F.col("text")))
     assert {r.key: r.merged_tokens for r in got.collect()} == {"web": 12, "books": 0}
+
+
+def test_pairs_are_compared_in_small_slices(spark):
+    """Exact comparison of more pairs than one slice, the last slice not full, against sets of runs."""
+    dice = np.random.default_rng(11)
+    n = 2 * cross_split.COMPARED + 3
+    texts = ["".join(dice.choice(list("CNO=()"), 40)) for _ in range(n)]
+    others = [t[: int(k)] + "S" + t[int(k) + 1 :] for t, k in zip(texts, dice.integers(0, 40, n))]
+    rows = [(i, 0, i, 1, t, o) for i, (t, o) in enumerate(zip(texts, others))]
+    df = spark.createDataFrame(rows, "ta long, tb long, ea long, eb long, plain_t string, plain_e string").coalesce(1)
+    share = lambda a, b: len(a & b) / len(a | b)
+    want = {i: share(cross_split.runs_of(t), cross_split.runs_of(o)) for i, (t, o) in enumerate(zip(texts, others))}
+    got = {r.ta: r.jaccard for r in cross_split.verify(df, 0.75).collect()}
+    assert 0 < len(got) < n and got.keys() == {i for i, x in want.items() if x >= 0.75 - 1e-9} and all(abs(got[i] - want[i]) < 1e-12 for i in got)
