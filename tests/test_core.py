@@ -482,6 +482,22 @@ def test_pairs_sharing_moves_no_pairs(spark):
     assert setsim.pairs_sharing(df.limit(0), df, "row_id", "fps").count() == 0
 
 
+def test_pairs_of_like_sizes_stand_together(spark):
+    """The pairs are most of what the query stores: tasks hold few different similarities, and pairs are the same in any blocks."""
+    dice = np.random.default_rng(10)
+    v = np.packbits(dice.random((1600, 2048)) < dice.uniform(0.02, 0.1, 1600)[:, None], axis=1)
+    df = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(v)], "row_id long, fps binary")
+    found = setsim.pairs_sharing(df.where("row_id % 4 = 0"), df, "row_id", "fps", block=40).withColumn("task", F.spark_partition_id()).toPandas()
+    assert found.groupby("task").similarity.nunique().mean() < 0.1 * found.similarity.nunique()
+    m = np.unpackbits(v, axis=1).astype(int)
+    both = m[::4] @ m.T
+    i, j = np.nonzero(both)
+    found = found.sort_values(["a", "b"])
+    assert (found.a == 4 * i).all() and (found.b == j).all() and np.allclose(found.similarity, both[i, j] / (m[::4].sum(1)[i] + m.sum(1)[j] - both[i, j]), atol=6e-7)
+    same = setsim.pairs_sharing(df.where("row_id % 4 = 0"), df, "row_id", "fps", block=400).toPandas().sort_values(["a", "b"])
+    assert (same.to_numpy() == found[["a", "b", "similarity"]].to_numpy()).all()
+
+
 def test_discrepancy_in_full_precision(spark):
     """Sparse, dense and equal vectors, against all pairs in double precision."""
     dice = np.random.default_rng(9)
